@@ -12,20 +12,19 @@ are suspected, in the limit all, and the result stays the same.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blooms
 from .common import small_batches, stash, text_slices
 
-#: A filter has this many bits a line, in a power of two from MIN_BITS to MAX_BITS (64 MB, broadcast).
-BITS_A_LINE, MIN_BITS, MAX_BITS = 12, 1 << 16, 1 << 29
-_SEGMENT = 1 << 16
+#: A filter has this many bits a line, up to blooms.MAX_BITS (64 MB, broadcast).
+BITS_A_LINE = 12
 _STRIP = b" \t\n\r\x0b\x0c"
 #: Hashes that a task holds before it folds them.
 _FOLD = 1 << 20
@@ -44,56 +43,6 @@ def line_keys(text: bytes, least: int) -> list[bytes | None]:
     return out
 
 
-def positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    top = np.uint64(bits - 1)
-    return h & top, (h >> np.uint64(32)) & top
-
-
-def fold(h: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(segment, once, twice) of hashes, one for each line and document; sets are sorted 16-bit places."""
-    a, b = positions(h, bits)
-    place, n = np.unique(np.concatenate([a, b[a != b]]), return_counts=True)
-    segment = (place >> np.uint64(16)).astype(np.int64)
-    low = (place & np.uint64(0xFFFF)).astype("<u2")
-    at = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(place) else []
-    for i, j in zip(at, [*at[1:], len(place)]):
-        yield int(segment[i]), zlib.compress(low[i:j].tobytes(), 1), zlib.compress(low[i:j][n[i:j] > 1].tobytes(), 1)
-
-
-def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    once: dict[int, np.ndarray] = {}
-    twice: dict[int, np.ndarray] = {}
-    for b in batches:
-        for s, o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if s not in once:
-                once[s], twice[s] = np.zeros(_SEGMENT, bool), np.zeros(_SEGMENT, bool)
-            o, t = (np.frombuffer(zlib.decompress(x), "<u2") for x in (o, t))
-            twice[s][o[once[s][o]]] = True
-            twice[s][t] = True
-            once[s][o] = True
-    for s, bits in twice.items():
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())], names=["segment", "bits"])
-
-
-def filter_bits(n_lines: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << (max(1, n_lines * BITS_A_LINE) - 1).bit_length()))
-
-
-def twice_filter(spark: SparkSession, hashes: DataFrame, bits: int) -> np.ndarray:
-    """Merge folded rows (segment, once, twice); the packed ``twice`` set, of bits / 8 bytes."""
-    out = np.zeros(bits // 8, np.uint8)
-    for s, packed in hashes.repartition("segment").mapInArrow(merge, "segment long, bits binary").toLocalIterator():
-        out[s * _SEGMENT // 8 : (s + 1) * _SEGMENT // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return out
-
-
-def suspected(h: np.ndarray, twice: np.ndarray) -> np.ndarray:
-    a, b = positions(h, len(twice) * 8)
-    hit = lambda p: (twice[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-    return (hit(a) & hit(b)).astype(bool)
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, carry: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
     """id, [text], n_lines, n_dropped, kept_sha256 of every row, and the columns named in carry.
 
@@ -109,7 +58,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     carry = tuple(c for c in carry if c not in made)
     source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*(docs[c] for c in carry)).alias("rest") if carry else F.lit(0).alias("rest"))
     n_lines = source.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = filter_bits(n_lines)
+    bits = blooms.size(n_lines, BITS_A_LINE)
 
     def keys_of(part: pa.RecordBatch, column: int) -> Iterator[tuple[int, set[bytes]]]:
         for i, text in enumerate(part.column(column).cast(pa.binary()).to_pylist()):
@@ -121,10 +70,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held: list[int] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = list(fold(np.array(held, np.uint64), bits))
+            rows = list(blooms.fold(np.array(held, np.uint64), bits))
             held.clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["segment", "once", "twice"])
+                yield blooms.folded(rows)
 
         for batch in batches:
             for part in text_slices(batch):
@@ -134,7 +83,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield from out()
         yield from out()
 
-    twice = spark.sparkContext.broadcast(twice_filter(spark, source.select("text").mapInArrow(seen, "segment long, once binary, twice binary"), bits))
+    twice = spark.sparkContext.broadcast(blooms.gather(source.select("text").mapInArrow(seen, blooms.FOLDED), bits, True))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = twice.value
@@ -145,7 +94,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for i, keys in keys_of(part, 1):
                     own += [i] * len(keys)
                     found += keys
-                hit = np.flatnonzero(suspected(np.array(list(map(xxhash.xxh3_64_intdigest, found)), np.uint64), bloom))
+                hit = np.flatnonzero(blooms.has(bloom, np.array(list(map(xxhash.xxh3_64_intdigest, found)), np.uint64)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.array(own, np.int64)[hit])), pa.array([hashlib.sha256(found[k]).digest() for k in hit], pa.binary())], names=["id", "key"])
 
     pairs = stash(source.select("id", "text").mapInArrow(suspects, "id long, key binary"), "suspects")
