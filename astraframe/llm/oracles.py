@@ -53,4 +53,29 @@ SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_si
 FROM placed GROUP BY r
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op5_mixing": OP5}
+OP7 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), starts AS (
+  SELECT r, words, unnest(generate_series(1, len(words) - 34)) AS i FROM docs WHERE len(words) >= 35
+), windows AS (
+  SELECT r, i, sha256(array_to_string(words[i : i + 34], ' ')) AS w FROM starts
+), repeated AS (
+  SELECT w FROM windows GROUP BY w HAVING count(*) > 1
+), covered AS (
+  SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS i FROM windows JOIN repeated USING (w)
+), gone AS (
+  SELECT r, list(i) AS at FROM covered GROUP BY r
+), kept AS (
+  SELECT d.r, d.doc_id, len(d.words) AS n_words, coalesce(len(g.at), 0) AS n_removed, d.words, coalesce(g.at, []) AS at
+  FROM docs d LEFT JOIN gone g ON g.r = d.r
+), numbered AS (
+  SELECT r, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM docs
+), joined AS (
+  SELECT n.r, string_agg(n.word, ' ' ORDER BY n.i) AS text FROM numbered n ANTI JOIN covered c ON c.r = n.r AND c.i = n.i GROUP BY n.r
+)
+SELECT k.doc_id, CAST(k.n_words AS BIGINT) AS n_words, CAST(k.n_removed AS BIGINT) AS n_removed, sha256(coalesce(j.text, '')) AS kept_sha256
+FROM kept k LEFT JOIN joined j ON j.r = k.r
+"""
+
+ORACLES = {"op7_substring_dedup": OP7, "op2_line_dedup": OP2, "op5_mixing": OP5}

@@ -29,6 +29,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    return dedup_substrings(_docs(spark, sf_dir)).drop("factors")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
 
@@ -41,4 +47,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mixing, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mixing, op7_substring_dedup, op9_token_counts, op10_packing)}
