@@ -78,4 +78,30 @@ SELECT k.doc_id, CAST(k.n_words AS BIGINT) AS n_words, CAST(k.n_removed AS BIGIN
 FROM kept k LEFT JOIN joined j ON j.r = k.r
 """
 
-ORACLES = {"op7_substring_dedup": OP7, "op2_line_dedup": OP2, "op5_mixing": OP5}
+OP8 = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words
+  FROM documents
+), starts AS (
+  SELECT r, words, unnest(generate_series(1, greatest(1, len(words) - 3))) AS i FROM docs WHERE len(words) > 0
+), shingles AS (
+  SELECT DISTINCT r, md5(array_to_string(words[i : i + 3], ' ')) AS s FROM starts
+), sizes AS (
+  SELECT r, count(*) AS n FROM shingles GROUP BY r
+), common AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.r = c.a JOIN sizes y ON y.r = c.b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+), twoway AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(r, o) AS (
+  SELECT r, r FROM docs UNION SELECT reach.r, twoway.b FROM reach JOIN twoway ON twoway.a = reach.o
+), least AS (
+  SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN docs d ON d.r = reach.o GROUP BY reach.r
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id IS NOT DISTINCT FROM l.component_id AS kept
+FROM docs d JOIN least l ON l.r = d.r LEFT JOIN sizes s ON s.r = d.r
+"""
+
+ORACLES = {"op8_near_dedup": OP8, "op7_substring_dedup": OP7, "op2_line_dedup": OP2, "op5_mixing": OP5}

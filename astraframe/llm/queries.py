@@ -35,6 +35,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_docs(spark, sf_dir)).drop("factors")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), words=4)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
 
@@ -47,4 +53,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mixing, op7_substring_dedup, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_mixing, op7_substring_dedup, op8_near_dedup, op9_token_counts, op10_packing)}
