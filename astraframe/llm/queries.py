@@ -35,6 +35,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    return scan_secrets(_docs(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
@@ -59,4 +65,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_quality_rules, op5_mixing, op7_substring_dedup, op8_near_dedup, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_quality_rules, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_near_dedup, op9_token_counts, op10_packing)}
