@@ -23,6 +23,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_docs(spark, sf_dir), texts=False)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_docs(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -65,4 +71,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), _tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_quality_rules, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_near_dedup, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_pii, op4_quality_rules, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_near_dedup, op9_token_counts, op10_packing)}
