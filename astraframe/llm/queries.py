@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER)
@@ -20,55 +20,55 @@ def _tokenizer() -> str:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
-    return dedup_lines(_docs(spark, sf_dir), texts=False)
+    return dedup_lines(documents(spark, sf_dir), texts=False)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
-    return find_pii(_docs(spark, sf_dir))
+    return find_pii(documents(spark, sf_dir))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
-    return judge(_docs(spark, sf_dir))
+    return judge(documents(spark, sf_dir))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(_docs(spark, sf_dir))
+    return mix(documents(spark, sf_dir))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
-    return scan_secrets(_docs(spark, sf_dir))
+    return scan_secrets(documents(spark, sf_dir))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
-    return dedup_substrings(_docs(spark, sf_dir)).drop("factors")
+    return dedup_substrings(documents(spark, sf_dir)).drop("factors")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(_docs(spark, sf_dir), words=4)
+    return near_duplicates(documents(spark, sf_dir), words=4)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens
 
-    return count_tokens(_docs(spark, sf_dir), _tokenizer())
+    return count_tokens(documents(spark, sf_dir), tokenizer_path())
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_docs(spark, sf_dir), _tokenizer())
+    return pack(documents(spark, sf_dir), tokenizer_path())
 
 
 QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_pii, op4_quality_rules, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_near_dedup, op9_token_counts, op10_packing)}
