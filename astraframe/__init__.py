@@ -1,0 +1 @@
+"""A Spark-native engine for Flexible Image Transport System files."""
