@@ -40,7 +40,7 @@ def parse_card(text: str) -> Card:
         keyword, body = m[1], m[2]
     elif keyword == "CONTINUE":
         body = text[8:]
-    elif keyword in COMMENTS or text[8:10] != "= ":
+    elif keyword in (*COMMENTS, "HIERARCH") or text[8:10] != "= ":
         return Card(keyword, "comment", None, text[8:].strip())
     if m := _QUOTED.match(body.rstrip()):
         return Card(keyword, "string", m[1].replace("''", "'").rstrip(), m[2].strip() if m[2] is not None else None)
