@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, text_slices
+from .common import lean, small_batches, stash, text_slices
 
 #: A value that more owners than this hold is a widely copied example.
 MAX_OWNERS = 2
@@ -62,13 +62,13 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
 
 
 def more_spans(text: str, base: list[tuple[int, str, int, str]]) -> list[tuple[int, str, int, str]]:
-    """What the generators propose that no base span covers and that looks random."""
+    """What the generators propose that looks random and that neither a base span nor an earlier generator's covers."""
     out = []
     for kind, pattern in GENERATORS.items():
         if _HINTS[kind] not in text or kind == "base64" and not _LONG.search(text):
             continue
         for m in pattern.finditer(text):
-            if not any(s <= m.start() and m.end() <= e for s, _, e, _ in base) and entropy(m[0]) >= MIN_ENTROPY:
+            if not any(s <= m.start() and m.end() <= e for s, _, e, _ in (*base, *out)) and entropy(m[0]) >= MIN_ENTROPY:
                 out.append((m.start(), kind, m.end(), m[0]))
     return out
 
@@ -91,6 +91,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[owner_col].cast("string").alias("owner"), docs[repo_col].cast("string").alias("repo"), docs[text_col].alias("text"))
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
