@@ -88,19 +88,15 @@ def _channels(blocks: DataFrame, names: dict[tuple[int, int], str], bitpix: int,
     return blocks.withColumns({"r": channel(0), "g": channel(1), "b": channel(2)})
 
 
-def superpixel_rows(df: DataFrame, bitpix: int | None = None, pattern: str | None = None, mode: str = "standard", key: tuple[str, ...] = ("plane",)) -> DataFrame:
-    """superpixel() over rows of samples: pairs of rows meet, so a shuffle has a row a row and not one a pixel."""
-    bitpix = bitpix or bitpix_of(df)
+def superpixel_pairs(df: DataFrame, bitpix: int | None = None, pattern: str | None = None, mode: str = "standard") -> DataFrame:
+    """superpixel() over pairs of rows, as layout="pairs" reads them: nothing is shuffled."""
+    bitpix = bitpix or bitpix_of(df.select(F.get("even", F.lit(0)).alias("raw"), "bitpix"))
     bayer = F.lit(pattern.upper()) if pattern else F.col("bayer_pattern")
-    df = df.where(F.col("y") < F.floor(F.col("height") / 2) * 2)
-    row = lambda k: F.max(F.when(F.col("y") % 2 == k, F.struct("raw")))["raw"]
-    pairs = df.groupBy(*key, F.floor(F.col("y") / 2).alias("y")).agg(row(0).alias("even"), row(1).alias("odd"), F.first(bayer).alias("bayer"), F.first("bzero").alias("bzero"), F.first("bscale").alias("bscale"), F.first("width").alias("width"))
-    pairs = pairs.where("width >= 2")
+    blocks = df.where("width >= 2").select("plane", "y", bayer.alias("bayer"), "bzero", "bscale", "even", "odd", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("width") / 2) - 1)).alias("x"))
     names = {(0, 0): "p00", (1, 0): "p10", (0, 1): "p01", (1, 1): "p11"}
-    blocks = pairs.select(*key, "y", "bayer", "bzero", "bscale", "even", "odd", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("width") / 2) - 1)).alias("x"))
     take = lambda c, k: F.get(F.col(c), (F.col("x") * 2 + k).cast("int"))
     blocks = blocks.withColumns({n: take("odd" if xy[1] else "even", xy[0]) for xy, n in names.items()})
-    return _channels(blocks, names, bitpix, mode).select(*key, "y", "x", "r", "g", "b")
+    return _channels(blocks, names, bitpix, mode).select("plane", "y", "x", "r", "g", "b")
 
 
 def rgb(df: DataFrame, bitpix: int | None = None, pattern: str | None = None, bayer: bool | None = None, mode: str = "standard") -> DataFrame:

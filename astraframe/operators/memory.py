@@ -5,6 +5,7 @@ This also reads stores that only Spark's own readers reach.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from ..functions.header import parse_card
 from ..sources.headers import pick
 from ..sources.source import CARD_SCHEMA, HDU_SCHEMA, Settings, decode_bytes, schema_of
 from ..sources.storage import open_bytes
+from ..sources.writer import table_bytes
 
 
 def binary_files(spark: SparkSession, path: str, glob: str = "*.{fit,fits,fts,fit.gz,fits.gz,fts.gz}") -> DataFrame:
@@ -39,3 +41,16 @@ def relation(df: DataFrame, relation: str = "table", schema: T.StructType | str
 def cards(df: DataFrame, mode: str = "standard", **options: object) -> DataFrame:
     out = relation(df, "cards", **options).where("card is not null").drop("error")
     return out.withColumn("c", parse_card(F.col("card"), mode)).select(*out.columns, "c.*")
+
+
+def encode_tables(df: DataFrame, key: str, columns: list[str] | None = None, extname: str | None = None) -> DataFrame:
+    """(key, content): the rows of each key as a whole file with one binary table. A file is one task's, in memory."""
+    columns = columns or [c for c in df.columns if c != key]
+    schema = T.StructType([df.schema[c] for c in columns])
+    kept = df.schema[key]
+
+    def one(table: pa.Table) -> pa.Table:
+        data = b"".join(table_bytes(table.select(columns), schema, extname, []))
+        return pa.table([table.column(key).slice(0, 1), pa.array([data], pa.binary())], names=[key, "content"])
+
+    return df.groupBy(key).applyInArrow(one, T.StructType([kept, T.StructField("content", T.BinaryType())]))

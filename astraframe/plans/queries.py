@@ -152,6 +152,13 @@ def memory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.relation(memory.binary_files(spark, path), "table", "c_custkey long, c_name string, c_acctbal double")
 
 
+@query("SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier")
+def memory_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = memory.encode_tables(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").withColumn("nr", F.col("s_nationkey")), "nr")
+    df = memory.relation(made, "table", "s_suppkey long, s_name string, s_nationkey int", path_col="nr")
+    return df.withColumn("s_nationkey", F.col("s_nationkey").cast("long"))
+
+
 @query("""SELECT n_name, count(*) AS n, CAST(sum(CAST(s_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS balance, rank() OVER (ORDER BY count(*) DESC, n_name) AS place
   FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name ORDER BY n DESC, n_name LIMIT 10""")
 def sql_join_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,12 +304,12 @@ def _normalize(kind: str, mode: str) -> None:
     query(f"WITH {PX} SELECT y, x, {value} AS value FROM px")(run)
 
 
-def _superpixel(kind: str, pattern: str, mode: str = "standard", rows: bool = False) -> None:
+def _superpixel(kind: str, pattern: str, mode: str = "standard", pairs: bool = False) -> None:
     bitpix, _, _, sql, z, s = KINDS[kind]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = _image(spark, sf_dir, kind, bayer=pattern)
-        f, layout = (images.superpixel_rows, "rows") if rows else (images.superpixel, "pixels")
+        f, layout = (images.superpixel_pairs, "pairs") if pairs else (images.superpixel, "pixels")
         return f(images.read_image(spark, path, layout=layout), bitpix, mode=mode).select("y", "x", "r", "g", "b")
 
     places = images.PLACES[pattern]
@@ -317,7 +324,7 @@ def _superpixel(kind: str, pattern: str, mode: str = "standard", rows: bool = Fa
         r, g, b = one(0), f"CAST((CAST({one(1)} AS FLOAT) + CAST({one(2)} AS FLOAT)) / CAST(2 AS FLOAT) AS DOUBLE)", one(3)
     else:
         r, g, b = (x if bitpix < 0 else f"{x} / CAST({most} AS DOUBLE)" for x in (one(0), f"(({one(1)}) + ({one(2)})) / 2", one(3)))
-    run.__name__ = f"image_superpixel_{kind}_{pattern.lower()}" + ("_reference" if mode == "reference" else "") + ("_rows" if rows else "")
+    run.__name__ = f"image_superpixel_{kind}_{pattern.lower()}" + ("_reference" if mode == "reference" else "") + ("_pairs" if pairs else "")
     query(f"WITH {PX}, v AS (SELECT y, x, {sql} AS v FROM px) SELECT y // 2 AS y, x // 2 AS x, {r} AS r, {g} AS g, {b} AS b FROM v WHERE y < (SELECT (max(y) + 1) // 2 * 2 FROM v) GROUP BY y // 2, x // 2")(run)
 
 
@@ -332,7 +339,7 @@ for _kind in ("u8", "i32", "f32", "f64"):
     _superpixel(_kind, "RGGB")
 for _kind in ("u8", "i32"):
     _superpixel(_kind, "RGGB", "reference")
-_superpixel("i16", "GBRG", rows=True)
+_superpixel("i16", "GBRG", pairs=True)
 
 _GREY = "CAST(least(greatest(trunc(255.0 * CAST(p AS DOUBLE)), 0), 255) AS BIGINT)"
 

@@ -2,10 +2,11 @@
 
 Options: ``relation`` (hdus, cards, table, image, ascii; default table), ``hdu`` (index or EXTNAME;
 default the first unit of the relation's kind), ``mode`` (standard, reference), ``parse``
-(PERMISSIVE: a file that breaks the format gives no rows but, in hdus and cards, its error;
-FAILFAST), ``scaling`` and ``nulls`` (apply TSCAL and TZERO, TNULL), ``arrays`` (a list even for one
-value a cell), ``meta`` (adds _path, _hdu, _row), ``layout`` of images (pixels, rows),
-``partitionBytes``, ``recursive``, ``pushdown``.
+(PERMISSIVE: a file without such a unit gives no rows, hdus and cards tell a broken header's error,
+broken data are an error; DROPMALFORMED: a file gives what it has up to the break; FAILFAST: all of
+these are errors), ``scaling`` and ``nulls`` (apply TSCAL and TZERO, TNULL), ``arrays`` (a list even for one
+value a cell), ``meta`` (adds _path, _hdu, _row), ``layout`` of images (pixels, rows,
+pairs of rows), ``partitionBytes``, ``recursive``, ``pushdown``.
 
 Planning lists files and reads the headers of the first one, for the schema; every task reads the
 headers of its own files. Files are cut into ranges of rows by size, and small files share a task.
@@ -55,11 +56,12 @@ class Settings:
     hdu: str | None = None
     mode: str = "standard"
     failfast: bool = False
+    drop: bool = False
     scaling: bool = False
     nulls: bool = False
     arrays: bool = False
     meta: bool = False
-    rows: bool = False
+    layout: str = "pixels"
     partition_bytes: int = PARTITION_BYTES
 
     @staticmethod
@@ -67,10 +69,10 @@ class Settings:
         get = lambda k, d: str(options.get(k, d))
         yes = lambda k: get(k, "false").lower() == "true"
         relation, mode, parse, layout = get("relation", "table"), get("mode", "standard"), get("parse", "PERMISSIVE").upper(), get("layout", "pixels")
-        for name, value, known in (("relation", relation, ("hdus", "cards", "table", "image", "ascii")), ("mode", mode, MODES), ("parse", parse, ("PERMISSIVE", "FAILFAST")), ("layout", layout, ("pixels", "rows"))):
+        for name, value, known in (("relation", relation, ("hdus", "cards", "table", "image", "ascii")), ("mode", mode, MODES), ("parse", parse, ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")), ("layout", layout, ("pixels", "rows", "pairs"))):
             if value not in known:
                 raise ValueError(f"option {name}: {value!r} is none of {', '.join(known)}")
-        return Settings(relation, options.get("hdu"), mode, parse == "FAILFAST", yes("scaling"), yes("nulls"), yes("arrays"), yes("meta"), layout == "rows", int(get("partitionBytes", PARTITION_BYTES)))
+        return Settings(relation, options.get("hdu"), mode, parse == "FAILFAST", parse == "DROPMALFORMED", yes("scaling"), yes("nulls"), yes("arrays"), yes("meta"), layout, int(get("partitionBytes", PARTITION_BYTES)))
 
     @property
     def kinds(self) -> tuple[str, ...]:
@@ -80,7 +82,10 @@ class Settings:
 def image_fields(bitpix: int, s: Settings) -> list[T.StructField]:
     raw = BITPIX[bitpix][2]
     own = [T.StructField("plane", T.LongType()), T.StructField("y", T.LongType())]
-    own += [T.StructField("raw", T.ArrayType(raw))] if s.rows else [T.StructField("x", T.LongType()), T.StructField("raw", raw)]
+    if s.layout == "pixels":
+        own += [T.StructField("x", T.LongType()), T.StructField("raw", raw)]
+    else:
+        own += [T.StructField(n, T.ArrayType(raw)) for n in (("raw",) if s.layout == "rows" else ("even", "odd"))]
     kinds = (("bitpix", T.IntegerType()), ("bzero", T.DoubleType()), ("bscale", T.DoubleType()), ("width", T.LongType()), ("height", T.LongType()), ("bayer_pattern", T.StringType()))
     return own + [T.StructField(n, t) for n, t in kinds]
 
@@ -151,12 +156,16 @@ def data_batches(path: str, file, part: int, parts: int, schema: T.StructType, s
         if s.failfast:
             raise FormatError(f"{path}: no {s.relation} at {s.hdu if s.hdu is not None else 'any unit'}")
         return
-    axes = u.axes
+    axes, at = u.axes, None
     if s.relation == "image":
         w, h, planes = u.plane
         if u.bitpix is None:
             raise FormatError(f"{path}: unit {u.index}: BITPIX is invalid")
-        total, stride = h * planes, w * BITPIX[u.bitpix][0]
+        line = w * BITPIX[u.bitpix][0]
+        each, high = (2, h // 2) if s.layout == "pairs" else (1, h)
+        total, stride = high * planes, each * line
+        if s.layout == "pairs" and h % 2 and planes > 1:  # planes apart: a pair's place isn't its number times its size
+            at = lambda k: (k // high * h + k % high * 2) * line
     else:
         if len(axes) != 2:
             raise FormatError(f"{path}: unit {u.index}: a table has two axes, this one has {len(axes)}")
@@ -170,10 +179,12 @@ def data_batches(path: str, file, part: int, parts: int, schema: T.StructType, s
         first, stop = max(first, span[0]), min(stop, span[1])
     arrow = to_arrow_schema(schema)
     step = max(1, BATCH_BYTES // max(1, stride))
+    if at is not None:
+        step = 1
     heap_at = u.data_offset + int(u.first.get("THEAP") or stride * total)
     for a in range(first, stop, step):
         b = min(stop, a + step)
-        data = file.at(u.data_offset + a * stride, (b - a) * stride)
+        data = file.at(u.data_offset + (at(a) if at else a * stride), (b - a) * stride)
         if len(data) < (b - a) * stride:
             raise FormatError(f"{path}: unit {u.index} ends early: rows {a} to {b} need {(b - a) * stride} bytes, {len(data)} are there")
         block = np.frombuffer(data, np.uint8).reshape(b - a, stride)
@@ -194,13 +205,14 @@ def data_batches(path: str, file, part: int, parts: int, schema: T.StructType, s
 def _image_batch(path: str, u: Unit, block: np.ndarray, first: int, arrow: pa.Schema, schema: T.StructType, s: Settings) -> pa.RecordBatch:
     w, h, _ = u.plane
     rows = np.arange(first, first + len(block))
-    each = 1 if s.rows else w
+    pairs = s.layout == "pairs"
+    high, each = h // 2 if pairs else h, w if s.layout == "pixels" else 1
     n = len(block) * each
     num = lambda k, d: float(v) if isinstance(v := u.first.get(k), (int, float)) else d
     bayer = u.first.get("BAYERPAT")
     made = {
-        "plane": lambda: pa.array(np.repeat(rows // h, each)),
-        "y": lambda: pa.array(np.repeat(rows % h, each)),
+        "plane": lambda: pa.array(np.repeat(rows // high, each)),
+        "y": lambda: pa.array(np.repeat(rows % high, each)),
         "x": lambda: pa.array(np.tile(np.arange(w), len(block))),
         "bitpix": lambda: pa.array(np.full(n, u.bitpix, np.int32)),
         "bzero": lambda: pa.array(np.full(n, num("BZERO", 0.0))),
@@ -213,14 +225,15 @@ def _image_batch(path: str, u: Unit, block: np.ndarray, first: int, arrow: pa.Sc
         "_row": lambda: pa.array(np.repeat(rows, each)),
     }
 
-    def raw(kind: pa.DataType) -> pa.Array:
-        x = np.ascontiguousarray(block).view(BITPIX[u.bitpix][1]).ravel()
+    def raw(kind: pa.DataType, part: str) -> pa.Array:
+        x = np.ascontiguousarray(block).view(BITPIX[u.bitpix][1])
+        x = (x[:, :w] if part == "even" else x[:, w:]).ravel() if pairs else x.ravel()
         flat = pa.array(x.astype(x.dtype.newbyteorder("=")))
-        if s.rows:
+        if s.layout != "pixels":
             return pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * w), flat.cast(kind.value_type))
         return flat.cast(kind)
 
-    cols = [raw(arrow.field(i).type) if f.name == "raw" else made[f.name]().cast(arrow.field(i).type) for i, f in enumerate(schema.fields)]
+    cols = [raw(arrow.field(i).type, f.name) if f.name in ("raw", "even", "odd") else made[f.name]().cast(arrow.field(i).type) for i, f in enumerate(schema.fields)]
     return pa.RecordBatch.from_arrays(cols, schema=arrow)
 
 
@@ -267,7 +280,7 @@ class Reader(DataSourceReader):
                     try:
                         yield from data_batches(path, file, part, parts, self.want, self.s, (self.low, self.high))
                     except FormatError:
-                        if self.s.failfast:
+                        if not self.s.drop:
                             raise
             finally:
                 file.close()
@@ -357,5 +370,5 @@ def decode_bytes(batches: Iterator[pa.RecordBatch], schema: T.StructType, s: Set
             try:
                 yield from data_batches(path, file, 0, 1, schema, s)
             except FormatError:
-                if s.failfast:
+                if not s.drop:
                     raise

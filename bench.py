@@ -41,7 +41,7 @@ def main() -> None:
         "lineitem_one_column": lambda: done(tables.read_table(spark, lineitem, columns=["l_quantity"])),
         "lineitem_aggregate": lambda: tables.read_table(spark, lineitem, columns=["l_returnflag", "l_linestatus", "l_quantity"]).groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity")).collect(),
         "frame_normalize": lambda: images.normalized(images.read_image(spark, frame, partitionBytes=2 << 20), 16).agg(F.sum("value")).collect(),
-        "frame_superpixel": lambda: images.superpixel_rows(images.read_image(spark, frame, layout="rows", partitionBytes=2 << 20), 16).agg(F.sum("g")).collect(),
+        "frame_superpixel": lambda: images.superpixel_pairs(images.read_image(spark, frame, layout="pairs", partitionBytes=2 << 20), 16).agg(F.sum("g")).collect(),
         "header_catalogue_1000_files": lambda: headers.hdus(spark, small).count(),
     }
     try:

@@ -55,12 +55,12 @@ def test_superpixel_goldens(spark, tmp_path):
     assert tuple(images.superpixel(df).select("r", "g", "b").first()) == (10 / 255, 150 / 255, 5 / 255)
 
 
-@pytest.mark.parametrize("rows", [False, True])
+@pytest.mark.parametrize("pairs", [False, True])
 @pytest.mark.parametrize("pattern", images.PLACES)
-def test_patterns_and_odd_sizes(spark, tmp_path, pattern, rows):
+def test_patterns_and_odd_sizes(spark, tmp_path, pattern, pairs):
     path = put(tmp_path, fx.image(range(15), "d", -64, (5, 3), f"BAYERPAT= '{pattern.lower()}'"))
-    f = images.superpixel_rows if rows else images.superpixel
-    df = images.read_image(spark, path, layout="rows" if rows else "pixels")
+    f = images.superpixel_pairs if pairs else images.superpixel
+    df = images.read_image(spark, path, layout="pairs" if pairs else "pixels")
     got = [tuple(r) for r in f(df).orderBy("y", "x").select("y", "x", "r", "g", "b").collect()]
     at = lambda bx, p: float((p[1]) * 5 + bx * 2 + p[0])
     pr, g1, g2, pb = images.PLACES[pattern]
@@ -69,6 +69,14 @@ def test_patterns_and_odd_sizes(spark, tmp_path, pattern, rows):
     assert (other["r"], other["g"], other["b"]) == (0.0, 0.0, 0.0) or pattern == "RGGB"
 
 
+def test_pairs_of_odd_planes(spark, tmp_path):
+    path = put(tmp_path, fx.image(range(18), "h", 16, (2, 3, 3), "BAYERPAT= 'RGGB'"))
+    df = images.read_image(spark, path, layout="pairs", partitionBytes=2900)
+    assert [(r["plane"], r["y"], r["even"], r["odd"]) for r in df.orderBy("plane").collect()] == [(p, 0, [6 * p, 6 * p + 1], [6 * p + 2, 6 * p + 3]) for p in range(3)]
+    pixels = images.superpixel(images.read_image(spark, path)).orderBy("plane").collect()
+    assert images.superpixel_pairs(df).orderBy("plane").collect() == pixels
+
+
 def test_no_pattern(spark, tmp_path):
     path = put(tmp_path, fx.image(GRID, "h", 16, (4, 4)))
     with pytest.raises(Exception, match="non rgb image"):
