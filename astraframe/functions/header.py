@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..layout import BAYER_PATTERNS, BLOCK, CARD, EXTENSIONS, FAMILIES, IMAGE_TYPES
 
 _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[EDed][+-]?\d+)?"
-_QUOTED = r"^\s*'((?:[^']|'')*+)'\s*(?:/\s*(.*))?$"
 _COMPLEX = rf"^\(\s*({_NUMBER})\s*,\s*({_NUMBER})\s*\)$"
 
 
@@ -23,50 +22,70 @@ def to_double(text: Column) -> Column:
     return F.when(text.rlike(f"^{_NUMBER}$"), F.replace(F.upper(text), F.lit("D"), F.lit("E")).try_cast("double"))
 
 
-def parse_card(card: Column, mode: str = "standard") -> Column:
-    """struct(keyword, kind, int, float, bool, string, re, im, comment, error) of a card.
+#: The columns that parsing adds; kind is string, logical, integer, float, complex, undefined, invalid, comment or end.
+PARSED = ("keyword", "kind", "int", "float", "bool", "string", "re", "im", "comment", "error")
 
-    kind is string, logical, integer, float, complex, undefined, invalid, comment or end.
+
+def card_steps(card: Column, mode: str = "standard") -> list[dict[str, Column]]:
+    """Columns to add step by step, each step using those before it, so that nothing is computed twice.
+
+    The last step has the PARSED columns; the others begin with two underscores.
     """
-    card = F.rpad(card, CARD, " ")
-    key = F.trim(F.substring(card, 1, 8))
     reference = mode == "reference"
-    hier = (key == "HIERARCH") & card.rlike(r"^HIERARCH\s+.+?=") if not reference else F.lit(False)
-    body = F.when(hier, F.regexp_extract(card, r"^HIERARCH\s+.+?\s*=\s*(.*)$", 1)).when(key == "CONTINUE", F.substring(card, 9, 72)).otherwise(F.substring(card, 11, 70))
-    keyword = F.when(hier, F.regexp_extract(card, r"^HIERARCH\s+(.+?)\s*=", 1)).otherwise(key)
-    has_value = hier | (~key.isin("COMMENT", "HISTORY", "", "END", "HIERARCH") & ((key == "CONTINUE") | (F.substring(card, 9, 2) == "= ")))
-    if reference:
-        has_value &= key != "CONTINUE"
-    quoted = F.trim(body).startswith("'")
-    if reference:
-        parts = F.split(F.trim(body), "'")
-        closed = F.size(parts) > 2
-        text, rest = F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
-        text_comment = F.trim(F.get(F.split(rest, "/"), F.lit(1)))
-        plain_comment = F.trim(F.get(F.split(body, "/"), F.lit(1)))
-    else:
-        closed = F.rtrim(body).rlike(_QUOTED)
-        text = F.replace(F.regexp_extract(F.rtrim(body), _QUOTED, 1), F.lit("''"), F.lit("'"))
-        text_comment = F.when(F.rtrim(body).rlike(r"^\s*'(?:[^']|'')*+'\s*/"), F.rtrim(F.regexp_extract(F.rtrim(body), _QUOTED, 2)))
-        plain_comment = F.when(F.contains(body, F.lit("/")), F.trim(F.regexp_extract(body, r"^[^/]*/(.*)$", 1)))
-    plain = F.trim(F.substring_index(body, "/", 1))
-    logical = plain.rlike("^[TF]") if reference else plain.isin("T", "F")
-    whole = F.when(plain.rlike(r"^[+-]?\d+$"), plain.try_cast("bigint"))
-    number = to_double(plain)
-    complex_ = plain.rlike(_COMPLEX)
-    kind = (
-        F.when(key == "END", "end").when(~has_value, "comment").when(quoted & closed, "string").when(quoted, "invalid").when(plain == "", "undefined").when(logical, "logical")
-        .when(whole.isNotNull(), "integer").when(number.isNotNull(), "float").when(complex_ & F.lit(not reference), "complex").otherwise("invalid")
-    )
-    error = F.when(~has_value, F.lit(None).cast("string")).when(quoted & ~closed, "text without a closing quote")
-    error = error.when(plain.startswith("(") & ~quoted & F.lit(reference), "complex values are not supported")
-    said = F.when(~has_value & (key != "END"), F.trim(F.substring(card, 9, 72))).when(has_value, F.when(quoted, text_comment).otherwise(plain_comment))
-    of = lambda k, x: F.when(has_value & (kind == k), x)
-    return F.struct(
-        keyword.alias("keyword"), kind.alias("kind"), of("integer", whole).alias("int"), of("float", number).alias("float"), of("logical", plain.startswith("T")).alias("bool"),
-        of("string", F.rtrim(text)).alias("string"), of("complex", to_double(F.regexp_extract(plain, _COMPLEX, 1))).alias("re"), of("complex", to_double(F.regexp_extract(plain, _COMPLEX, 2))).alias("im"),
-        said.alias("comment"), error.alias("error"),
-    )
+    c, key, body, rest = (F.col(n) for n in ("__card", "__key", "__body", "__rest"))
+    plain, inner, cut, said = (F.col(n) for n in ("__plain", "__inner", "__cut", "__said"))
+    hier, has, quoted, closed, numeric = (F.col(n) for n in ("__hier", "__has", "__quoted", "__closed", "__numeric"))
+    hierarch = F.lit(False) if reference else (key == "HIERARCH") & c.rlike(r"^HIERARCH\s+.+?=")
+    value_key = ~key.isin("COMMENT", "HISTORY", "", "END", "HIERARCH")
+    indicated = (F.substring(c, 9, 2) == "= ") if reference else (key == "CONTINUE") | (F.substring(c, 9, 2) == "= ")
+    value_key = value_key & (key != "CONTINUE") if reference else value_key
+    steps = [
+        {"__card": F.rpad(card, CARD, " ")},
+        {"__key": F.trim(F.substring(c, 1, 8))},
+        {"__hier": hierarch},
+        {
+            "__has": hier | (value_key & indicated),
+            "__body": F.trim(F.when(hier, F.regexp_extract(c, r"^HIERARCH\s+.+?\s*=\s*(.*)$", 1)).when(key == "CONTINUE", F.substring(c, 9, 72)).otherwise(F.substring(c, 11, 70))),
+        },
+        {"__quoted": F.startswith(body, F.lit("'"))},
+    ]
+    if reference:  # text up to the second quote, comments up to the second slash
+        parts = F.split(body, "'")
+        steps += [
+            {"__inner": F.when(quoted, F.get(parts, F.lit(1))), "__rest": F.when(quoted, F.get(parts, F.lit(2)))},
+            {"__closed": quoted & rest.isNotNull(), "__text": inner, "__said": F.when(quoted, F.trim(F.get(F.split(rest, "/"), F.lit(1)))).otherwise(F.trim(F.get(F.split(body, "/"), F.lit(1))))},
+        ]
+    else:  # doubled quotes are pairs from the left, so what is single after replacing them closes the text
+        steps += [
+            {"__inner": F.when(quoted, F.replace(F.substring(body, 2, CARD), F.lit("''"), F.lit("\x01")))},
+            {"__cut": F.when(quoted, F.instr(inner, "'"))},
+            {"__rest": F.when(cut > 0, F.ltrim(F.substring(inner, cut + 1, F.lit(CARD))))},
+            {
+                "__closed": F.coalesce((cut > 0) & ((rest == "") | F.startswith(rest, F.lit("/"))), F.lit(False)),
+                "__text": F.replace(F.substring(inner, F.lit(1), cut - 1), F.lit("\x01"), F.lit("'")),
+                "__said": F.when(quoted, F.when(rest != "", F.trim(F.replace(F.substring(rest, 2, CARD), F.lit("\x01"), F.lit("''"))))).when(F.contains(body, F.lit("/")), F.trim(F.substring(body, F.instr(body, "/") + 1, F.lit(CARD)))),
+            },
+        ]
+    steps += [
+        {"__plain": F.when(has & ~quoted, F.trim(F.substring_index(body, "/", 1)))},
+        {"__numeric": F.substring(plain, 1, 1).isin(*"0123456789+-.")},
+        {"__whole": F.when(numeric, plain.try_cast("bigint"))},
+        {"__number": F.when(numeric & F.col("__whole").isNull(), to_double(plain)), "__pair": F.when(F.startswith(plain, F.lit("(")) & F.lit(not reference), F.split(F.regexp_replace(plain, r"^\(\s*|\s*\)$", ""), r"\s*,\s*"))},
+        {"__re": F.when(plain.rlike(_COMPLEX), to_double(F.get("__pair", F.lit(0)))), "__im": F.when(plain.rlike(_COMPLEX), to_double(F.get("__pair", F.lit(1))))},
+        {
+            "__kind": F.when(key == "END", "end").when(~has, "comment").when(quoted & closed, "string").when(quoted, "invalid").when(plain == "", "undefined").when(plain.rlike("^[TF]") if reference else plain.isin("T", "F"), "logical")
+            .when(F.col("__whole").isNotNull(), "integer").when(F.col("__number").isNotNull(), "float").when(F.col("__pair").isNotNull() & F.col("__re").isNotNull(), "complex").otherwise("invalid")
+        },
+    ]
+    of = lambda k, x: F.when(F.col("__kind") == k, x)
+    error = F.when(has & quoted & ~closed, "text without a closing quote").when(F.startswith(plain, F.lit("(")) & F.lit(reference), "complex values are not supported")
+    keyword = F.when(hier, F.regexp_extract(c, r"^HIERARCH\s+(.+?)\s*=", 1)).otherwise(key)
+    steps.append({
+        "keyword": keyword, "kind": F.col("__kind"), "int": of("integer", F.col("__whole")), "float": of("float", F.col("__number")), "bool": of("logical", F.startswith(plain, F.lit("T"))),
+        "string": of("string", F.rtrim(F.col("__text"))), "re": of("complex", F.col("__re")), "im": of("complex", F.col("__im")),
+        "comment": F.when(~has & (key != "END"), F.trim(F.substring(c, 9, 72))).when(has, said), "error": error,
+    })
+    return steps
 
 
 def as_text(card: Column) -> Column:
@@ -152,8 +171,8 @@ def timestamp(text: Column) -> Column:
     return F.try_to_timestamp(F.trim(text))
 
 
-def index_of(keyword: Column, family: str) -> Column:
-    """The one-based index of a keyword in an indexed family, null for others such as CRVAL1A or NAXISX."""
-    if family not in {f for f, _, _ in FAMILIES}:
-        raise ValueError(f"{family} is no family of keywords")
-    return F.regexp_extract(keyword, f"^{family}([1-9][0-9]*)$", 1).try_cast("int")
+def family_of(keyword: Column) -> tuple[Column, Column]:
+    """The stem and the one-based index of a keyword in an indexed family, null for others such as CRVAL1A or NAXISX."""
+    last = F.regexp_extract(keyword, "[1-9][0-9]*$", 0)
+    stem = F.when(last != "", F.substring(keyword, F.lit(1), F.length(keyword) - F.length(last)))
+    return F.when(stem.isin(*(f for f, _, _ in FAMILIES)), stem), F.when(last != "", last).try_cast("int")

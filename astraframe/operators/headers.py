@@ -51,11 +51,13 @@ def cards(spark: SparkSession, path: str, mode: str = "standard", **options: obj
     return parse(_read(spark, path, "cards", **options).where("card is not null"), mode)
 
 
-def parse(df: DataFrame, mode: str = "standard") -> DataFrame:
-    """Rows with a card of 80 characters, and its parsed fields."""
-    parsed = df.withColumn("c", H.parse_card(F.col("card"), mode))
-    kept = [c for c in df.columns if c != "error"]
-    return parsed.select(*kept, "c.*")
+def parse(df: DataFrame, mode: str = "standard", card_col: str = "card") -> DataFrame:
+    """Rows with a card of 80 characters, and its parsed fields (H.PARSED), which replace columns of their names."""
+    kept = [c for c in df.columns if c not in H.PARSED]
+    df = df.select(*kept)
+    for step in H.card_steps(df[card_col], mode):
+        df = df.withColumns(step)
+    return df.select(*kept, *H.PARSED)
 
 
 def failfast(parsed: DataFrame) -> DataFrame:
@@ -95,6 +97,8 @@ def typed_header(parsed: DataFrame, key: tuple[str, ...] = KEY, keywords: list[s
     The first card of a keyword counts, and a value of another type than the keyword's is null;
     integers are taken for floats, and TNULL also as an integer. Maps are from one-based indexes.
     """
+    stem, n = H.family_of(F.col("keyword"))
+    parsed = parsed.withColumns({"__stem": stem, "__n": n})
     one = []
     for k, name, kind in KEYWORDS:
         if keywords is None or k in keywords:
@@ -102,8 +106,8 @@ def typed_header(parsed: DataFrame, key: tuple[str, ...] = KEY, keywords: list[s
             one.append(F.min_by(F.struct(_typed(kind).alias("v")), F.when(hit, F.col("card_index")))["v"].alias(name))
     for family, name, kind in FAMILIES:
         if keywords is None or family in keywords:
-            n = H.index_of(F.col("keyword"), family)
-            entries = F.array_sort(F.collect_list(F.when(n.isNotNull(), F.struct(n.alias("n"), F.col("card_index").alias("at"), _typed(kind).alias("v")))))
+            n = F.col("__n")
+            entries = F.array_sort(F.collect_list(F.when(F.col("__stem") == family, F.struct(n.alias("n"), F.col("card_index").alias("at"), _typed(kind).alias("v")))))
             firsts = F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["n"] != e["n"]))
             one.append(F.map_from_entries(F.transform(firsts, lambda e: F.struct(e["n"], e["v"]))).alias(name))
     return parsed.groupBy(*key).agg(*one)

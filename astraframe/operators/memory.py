@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.header import parse_card
 from ..sources.headers import pick
 from ..sources.source import CARD_SCHEMA, HDU_SCHEMA, Settings, decode_bytes, schema_of
 from ..sources.storage import open_bytes
 from ..sources.writer import table_bytes
+from .headers import parse
 
 
 def binary_files(spark: SparkSession, path: str, glob: str = "*.{fit,fits,fts,fit.gz,fits.gz,fts.gz}") -> DataFrame:
@@ -40,7 +40,7 @@ def relation(df: DataFrame, relation: str = "table", schema: T.StructType | str
 
 def cards(df: DataFrame, mode: str = "standard", **options: object) -> DataFrame:
     out = relation(df, "cards", **options).where("card is not null").drop("error")
-    return out.withColumn("c", parse_card(F.col("card"), mode)).select(*out.columns, "c.*")
+    return parse(out, mode)
 
 
 def encode_tables(df: DataFrame, key: str, columns: list[str] | None = None, extname: str | None = None) -> DataFrame:

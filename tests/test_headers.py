@@ -32,8 +32,7 @@ CARDS = {
 
 def parsed(spark, cards, mode="standard"):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cards)], "i int, card string")
-    rows = df.select("i", H.parse_card(F.col("card"), mode).alias("c")).orderBy("i").collect()
-    return [r["c"] for r in rows]
+    return headers.parse(df, mode).orderBy("i").collect()
 
 
 def value(c):
