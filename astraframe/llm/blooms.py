@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: Bits a key, in a power of two up to MAX_BITS (64 MB); a fuller filter answers yes more often.
 BITS_A_KEY, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 29
 SEGMENT = 1 << 16
@@ -55,6 +57,7 @@ def gather(rows: DataFrame, bits: int, seen_twice: bool) -> np.ndarray:
     twice = a.twice | b.twice | (a.once & b.once) and once = a.once | b.once, in any order of rows.
     """
 
+    @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once: dict[int, np.ndarray] = {}
         twice: dict[int, np.ndarray] = {}
@@ -80,6 +83,7 @@ def build(keys: DataFrame, n: int) -> np.ndarray:
     """The filter of a column of n 64-bit hashes."""
     bits = size(n)
 
+    @lean
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if rows := list(fold(b.column(0).to_numpy().view(np.uint64), bits)):

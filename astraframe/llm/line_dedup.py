@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blooms
-from .common import small_batches, stash, text_slices
+from .common import lean, small_batches, stash, text_slices
 
 #: A filter has this many bits a line, up to blooms.MAX_BITS (64 MB, broadcast).
 BITS_A_LINE = 12
@@ -66,6 +66,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             keys.discard(None)
             yield i, keys
 
+    @lean
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[int] = []
 
@@ -85,6 +86,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     twice = spark.sparkContext.broadcast(blooms.gather(source.select("text").mapInArrow(seen, blooms.FOLDED), bits, True))
 
+    @lean
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = twice.value
         for batch in batches:
@@ -104,6 +106,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = source.join(drops, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "drop", "rest")
     rest_type = joined.schema["rest"].dataType.simpleString()
 
+    @lean
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):

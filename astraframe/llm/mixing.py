@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stash
+from .common import WORD, lean, stash
 
 #: A source's words are used so many times at most.
 EPOCHS = 3
@@ -49,6 +49,7 @@ def _running(df: DataFrame, group: str, order: list[str], name: str) -> DataFram
     """df with ``cum``, the sum of ``size`` within group up to and with each row, in the whole order."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
+    @lean
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, carry = TaskContext.get().partitionId(), None, 0
         for b in batches:

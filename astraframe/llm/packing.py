@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, text_slices
+from .common import lean, small_batches, stash, text_slices
 from .tokens import encoder
 
 #: Ranks of a length are below this, as are lengths times it in 64 bits.
@@ -99,6 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + (", ids array<int>" if keep_ids else "")
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part, seen, end = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([end_id], np.uint32)
         for batch in batches:
@@ -123,6 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     runs, _ = plan_bins(counts, capacity)
     key = runs[:, 0] * _RANKS + runs[:, 1]
 
+    @lean
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, raw, rolling, small_batches, stash, text_slices, words_of
+from .common import lean, mix, raw, rolling, small_batches, stash, text_slices, words_of
 
 #: (feature, good from, good to, bad below, bad above): good inside the first range, bad outside the second, else abstains.
 RULES = (
@@ -143,6 +143,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     carry = tuple(c for c in carry if c not in {id_col, *exact, "base_failed", "quality", "kept"})
     source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*(docs[c] for c in carry)).alias("rest") if carry else F.lit(0).alias("rest"))
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):

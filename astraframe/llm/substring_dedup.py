@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blooms
-from .common import mix, powers, raw, rolling, small_batches, stash, text_slices, words_of
+from .common import lean, mix, powers, raw, rolling, small_batches, stash, text_slices, words_of
 
 ANCHOR = 8
 _GRAM = 0x5851F42D4C957F2D
@@ -100,6 +100,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(spark)
     source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
 
+    @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
@@ -123,6 +124,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         begin = np.searchsorted(b.word_doc, doc)
         return pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), part.column("mark").take(pa.array(doc)), pa.array(lo), pa.array(hi), pa.array(first - begin), pa.array(count.astype(np.int32))], names=["id", "mark", "lo", "hi", "first", "count"])
 
+    @lean
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
@@ -144,6 +146,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         filters = spark.sparkContext.broadcast(both)
         to_parse = source
     else:
+        @lean
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in text_slices(batch):
@@ -158,6 +161,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spans = parsed.join(repeated, ["lo", "hi"]).groupBy(F.col("id").alias("of"), F.col("mark").alias("of_mark")).agg(F.collect_list(F.struct("first", "count")).alias("spans"))
     joined = source.join(spans, (F.col("mark") == F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", F.col("spans.first").alias("first"), F.col("spans.count").alias("count"))
 
+    @lean
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, text_slices
+from .common import lean, small_batches, text_slices
 
 #: Bytes encoded at a time, and the length beyond which a text is cut.
 BATCH_BYTES = 1 << 20
@@ -115,6 +115,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     small_batches(docs.sparkSession)
     picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for batch in batches:
