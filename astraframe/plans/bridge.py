@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..layout import BLOCK, padded
 from ..operators import images, tables
-from ..sources.storage import file_system, list_files, open_file
 from ..sources.headers import units
+from ..sources.storage import file_system, list_files, open_file
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,7 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="astraframe-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/astraframe/{uuid.uuid4().hex}"
+    return f"{root}/astraframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Remove what this session has put into the shared folder."""
+    fs, inner = file_system(shared_folder(spark).rsplit("/", 1)[0])
+    if fs.get_file_info(inner).type == pafs.FileType.Directory:
+        fs.delete_dir(inner)
 
 
 def table_files(df: DataFrame, one: bool = False, **options: object) -> str:
