@@ -12,8 +12,9 @@
 4. The confirmed links' components are the result.
 
 At a similarity of 0.8 a pair shares no band with a chance of 5e-8, and an estimate is 0.2 too low
-with one of about 1e-8. Components are found by contraction: each vertex points to the neighbour of
-least random priority, edges are contracted, and what is left goes on; no step gathers a component.
+with one of about 1e-8. Components are found by contraction: each vertex points to that of least
+random priority within two edges, edges are contracted, and what is left goes on; no step gathers a
+component.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import lean, mix, powers, raw, rolling, small_batches, stash, text_
 BANDS, ROWS, ODD_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
 #: Vertices and shingles of one block.
-BLOCK_SETS, BLOCK_SHINGLES = 2000, 1_500_000
+BLOCK_SETS, BLOCK_SHINGLES = 600, 1_500_000
 #: Estimates below the threshold by more than this are discarded; over five standard deviations.
 MARGIN = 0.2
 _SHINGLE = 0x9FB21C651E98DF25
@@ -102,8 +103,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         r = len(maps)
         rank = lambda c: F.struct(F.xxhash64(F.lit(r), c).alias("h"), F.col(c).alias("u"))  # noqa: E731, B023
-        both = edges.select(F.col("a").alias("v"), rank("b").alias("to")).unionByName(edges.select(F.col("b").alias("v"), rank("a").alias("to")))
-        parent = stash(both.groupBy("v").agg(F.min("to").alias("to")).select("v", F.least(rank("v"), "to")["u"].alias("p")), "parents")
+        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
+        near = stash(both.groupBy("v").agg(F.min(rank("u")).alias("to")).select(F.col("v").alias("u"), F.least(rank("v"), "to").alias("to")), "nearest")
+        parent = stash(both.join(near, "u").groupBy("v").agg(F.min("to")["u"].alias("p")), "parents")
         maps.append(parent)
         left = edges.join(parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(parent.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
         edges = stash(left.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
@@ -133,11 +135,11 @@ class _Union:
 
 
 def confirm(odd: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Confirmed links that span the components of a block (side all 0) or between two (side 0 and 1)."""
+    """The components that confirmed links make in a block (side all 0) or between two (side 0 and 1), as pairs of a member and its component's head."""
     size = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.cumsum(size) - size
-    words, own, union, links = odd.view(np.uint64), np.zeros(len(ids), bool), _Union(len(sets)), []
+    words, own, union = odd.view(np.uint64), np.zeros(len(ids), bool), _Union(len(sets))
     most = int(np.searchsorted(-estimate(np.arange(ODD_BITS // 2)), MARGIN - percent / 100, side="right"))
     two = bool(side.any())
     for x in range(len(sets)):
@@ -173,9 +175,10 @@ def confirm(odd: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
             for y in part[100 * common >= percent * (n + size[x] - common)]:
                 if union.find(y) != union.find(x):
                     union.up[union.find(y)] = union.find(x)
-                    links.append((x, int(y)))
         own[mine] = False
-    return links
+    root = union.roots()
+    member = np.flatnonzero(root != np.arange(len(sets)))
+    return list(zip(root[member].tolist(), member.tolist()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
