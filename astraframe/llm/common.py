@@ -32,9 +32,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this session's intermediate tables are, below the shared folder."""
+    return f"{scratch_root(spark)}/astraframe/{spark.sparkContext.applicationId}"
+
+
+def drop_stashed(spark: SparkSession) -> None:
+    """Remove this session's intermediate tables, when no DataFrame made from them is in use any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and reread it: lineage ends there and survives lost executors."""
-    path = f"{scratch_root(df.sparkSession)}/astraframe/{uuid.uuid4().hex}/{name}"
+    path = f"{session_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -85,6 +85,14 @@ def test_line_dedup(docs, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_stash(spark):
+    from astraframe.llm.common import session_folder, stash
+
+    kept = stash(spark.createDataFrame([(1, None)], "a int, b string"), "t")
+    assert rows(kept) == [(1, None)] and kept.inputFiles()[0].startswith(session_folder(spark).replace("file://", "file:///").replace("file:////", "file:///"))
+    assert stash(kept.where("false"), "none").count() == 0
+
+
 def test_blooms():
     import numpy as np
     from astraframe.llm import blooms
