@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .common import lean
@@ -90,3 +91,20 @@ def build(keys: DataFrame, n: int) -> np.ndarray:
                 yield folded(rows)
 
     return gather(keys.mapInArrow(each, FOLDED), bits, False)
+
+
+def pick(batch: pa.RecordBatch, key: str, bits: np.ndarray, inside: bool = True) -> pa.RecordBatch:
+    """The rows of a batch whose 64-bit key the filter has, or has not."""
+    hit = has(bits, batch.column(key).to_numpy().view(np.uint64))
+    return batch.filter(pa.array(hit if inside else ~hit))
+
+
+def matching(df: DataFrame, key: str, bits: Broadcast) -> DataFrame:
+    """The rows of df whose 64-bit key the broadcast filter has: all that match, and a few others."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pick(b, key, bits.value)
+
+    return df.mapInArrow(run, df.schema)

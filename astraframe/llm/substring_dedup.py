@@ -158,32 +158,44 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     parsed = stash(to_parse.mapInArrow(units, "id long, mark long, lo long, hi long, first long, count int"), "units")
     repeated = stash(parsed.groupBy("lo", "hi").agg(F.count("*").alias("n")).where("n > 1").select("lo", "hi"), "repeated")
-    spans = parsed.join(repeated, ["lo", "hi"]).groupBy(F.col("id").alias("of"), F.col("mark").alias("of_mark")).agg(F.collect_list(F.struct("first", "count")).alias("spans"))
-    joined = source.join(spans, (F.col("mark") == F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", F.col("spans.first").alias("first"), F.col("spans.count").alias("count"))
+    spans = stash(parsed.join(repeated, ["lo", "hi"]).groupBy(F.col("id").alias("of"), F.col("mark").alias("of_mark")).agg(F.collect_list(F.struct("first", "count")).alias("spans")), "spans")
+    cut = spark.sparkContext.broadcast(blooms.build(spans.select("of_mark"), spans.count()))  # only documents with spans meet them in a shuffle
+    joined = blooms.matching(source, "mark", cut).join(spans, (F.col("mark") == F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", F.col("spans.first").alias("first"), F.col("spans.count").alias("count"))
+
+    @lean
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = blooms.pick(batch, "mark", cut.value, inside=False)
+            none = pa.nulls(own.num_rows, pa.list_(pa.int64()))
+            yield from rewrite(pa.RecordBatch.from_arrays([own.column("id"), own.column("text"), none, none], names=["id", "text", "first", "count"]))
+
+    def rewrite(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batch):
+            n, gone, digest, factors, kept = [], [], [], [], []
+            for text, first, count in zip(part.column("text").cast(pa.binary()).to_pylist(), *(part.column(c).to_pylist() for c in ("first", "count"))):
+                words = text.split()
+                n.append(len(words))
+                ends = []
+                if first:
+                    cover = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(cover, first, 1)
+                    np.add.at(cover, np.add(first, count) + width - 1, -1)
+                    covered = np.cumsum(cover)[:-1] > 0
+                    ends = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
+                    words = [w for w, c in zip(words, covered.tolist()) if not c]
+                gone.append(n[-1] - len(words))
+                factors.append(",".join(f"{a}:{b}" for a, b in zip(ends[::2], ends[1::2])))
+                whole = b" ".join(words)
+                digest.append(hashlib.sha256(whole).hexdigest())
+                if texts:
+                    kept.append(whole)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(factors, pa.string()), *([pa.array(kept, pa.binary()).cast(pa.string())] if texts else [])], names=names)
 
     @lean
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
-                n, gone, digest, factors, kept = [], [], [], [], []
-                for text, first, count in zip(part.column("text").cast(pa.binary()).to_pylist(), *(part.column(c).to_pylist() for c in ("first", "count"))):
-                    words = text.split()
-                    n.append(len(words))
-                    ends = []
-                    if first:
-                        cover = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(cover, first, 1)
-                        np.add.at(cover, np.add(first, count) + width - 1, -1)
-                        covered = np.cumsum(cover)[:-1] > 0
-                        ends = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
-                        words = [w for w, c in zip(words, covered.tolist()) if not c]
-                    gone.append(n[-1] - len(words))
-                    factors.append(",".join(f"{a}:{b}" for a, b in zip(ends[::2], ends[1::2])))
-                    whole = b" ".join(words)
-                    digest.append(hashlib.sha256(whole).hexdigest())
-                    if texts:
-                        kept.append(whole)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(factors, pa.string()), *([pa.array(kept, pa.binary()).cast(pa.string())] if texts else [])], names=names)
+            yield from rewrite(batch)
 
     names = [id_col, "n_words", "n_removed", "kept_sha256", "factors", *([text_col] if texts else [])]
-    return joined.mapInArrow(remove, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, factors string" + (f", `{text_col}` string" if texts else ""))
+    schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, factors string" + (f", `{text_col}` string" if texts else "")
+    return source.mapInArrow(untouched, schema).unionByName(joined.mapInArrow(remove, schema))
