@@ -103,30 +103,44 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = stash(pairs.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"), "repeated")
     lost = F.col("keeper").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("keeper")))
     drops = pairs.join(repeated, "key").where(lost).groupBy("id").agg(F.collect_set("key").alias("drop")).withColumnRenamed("id", "of")
-    joined = source.join(drops, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "drop", "rest")
+    drops = stash(drops, "drops")
+    marked = source.withColumn("mark", F.xxhash64("id"))
+    losing = spark.sparkContext.broadcast(blooms.build(drops.select(F.xxhash64("of").alias("mark")), drops.count()))  # only documents that lose lines are shuffled
+    joined = blooms.matching(marked, "mark", losing).join(drops, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "drop", "rest")
     rest_type = joined.schema["rest"].dataType.simpleString()
 
+    def rewritten(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batch):
+            n, gone, digest, kept = [], [], [], []
+            for text, drop in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
+                lines = text.count(b"\n") + 1
+                n.append(lines)
+                if drop:
+                    drop = set(drop)
+                    own = text.split(b"\n")
+                    own = [x for x, k in zip(own, line_keys(text, min_chars)) if k is None or hashlib.sha256(k).digest() not in drop]
+                    text = b"\n".join(own)
+                    gone.append(lines - len(own))
+                else:
+                    gone.append(0)
+                digest.append(hashlib.sha256(text).hexdigest())
+                if texts:
+                    kept.append(text)
+            cols = [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), part.column(3)]
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.binary()).cast(pa.string())] if texts else [])], names=["id", "n_lines", "n_dropped", "kept_sha256", "rest", *(["text"] if texts else [])])
+
     @lean
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
-                n, gone, digest, kept = [], [], [], []
-                for text, drop in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
-                    lines = text.count(b"\n") + 1
-                    n.append(lines)
-                    if drop:
-                        drop = set(drop)
-                        own = text.split(b"\n")
-                        own = [x for x, k in zip(own, line_keys(text, min_chars)) if k is None or hashlib.sha256(k).digest() not in drop]
-                        text = b"\n".join(own)
-                        gone.append(lines - len(own))
-                    else:
-                        gone.append(0)
-                    digest.append(hashlib.sha256(text).hexdigest())
-                    if texts:
-                        kept.append(text)
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), part.column(3)]
-                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.binary()).cast(pa.string())] if texts else [])], names=["id", "n_lines", "n_dropped", "kept_sha256", "rest", *(["text"] if texts else [])])
-
-    out = joined.mapInArrow(rewrite, f"id long, n_lines long, n_dropped long, kept_sha256 string, rest {rest_type}" + (", text string" if texts else ""))
+            yield from rewritten(batch)
+
+    @lean
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = blooms.pick(batch, "mark", losing.value, inside=False)
+            none = pa.nulls(own.num_rows, pa.list_(pa.binary()))
+            yield from rewritten(pa.RecordBatch.from_arrays([own.column("id"), own.column("text"), none, own.column("rest")], names=["id", "text", "drop", "rest"]))
+
+    schema = f"id long, n_lines long, n_dropped long, kept_sha256 string, rest {rest_type}" + (", text string" if texts else "")
+    out = marked.mapInArrow(untouched, schema).unionByName(joined.mapInArrow(rewrite, schema))
     return out.select(F.col("id").alias(id_col), *([F.col("text").alias(text_col)] if texts else []), "n_lines", "n_dropped", "kept_sha256", *(F.col("rest")[c].alias(c) for c in carry))
