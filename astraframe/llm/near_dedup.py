@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blooms
 from .common import lean, mix, powers, raw, rolling, small_batches, stash, text_slices, words_of
 
 BANDS, ROWS, ODD_BITS = 32, 4, 512
@@ -191,7 +192,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null ids alone has a null component_id, and its rows are kept. Repeated rows are linked and, as
     they share their id, kept alike. An empty table gives no rows. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
     @lean
@@ -221,7 +223,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = stash(family.join(vertex.select("v", "id", "lo", "hi", "n", "odd"), "v"), "members")
     blocks = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / block_shingles)).cast("int")
     member = member.join(stash(member.groupBy("root").agg(blocks.alias("blocks")), "families"), "root").select("root", "blocks", "v", F.col("id").alias("of"), "lo", "hi", "odd")
-    wanted = source.join(member, F.col("id").eqNullSafe(F.col("of"))).select("root", "blocks", "v", "lo", "hi", "odd", "text")
+    member = stash(member, "wanted")
+    marked = member.select(F.xxhash64("of").alias("mark")).distinct()
+    of_members = spark.sparkContext.broadcast(blooms.build(marked, marked.count()))  # other documents' texts aren't shuffled
+    texts = blooms.matching(source.withColumn("mark", F.xxhash64("id")), "mark", of_members)
+    wanted = texts.join(member, F.col("id").eqNullSafe(F.col("of"))).select("root", "blocks", "v", "lo", "hi", "odd", "text")
 
     @lean
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
