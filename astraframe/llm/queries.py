@@ -17,6 +17,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no media column: the bytes of each whole text are one, as 8-bit samples."""
+    from .chroma import align
+
+    docs = documents(spark, sf_dir)
+    return align(docs.select("doc_id", docs["text"].cast("binary").alias("media")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -71,4 +79,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_pii, op4_quality_rules, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_near_dedup, op9_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_chroma_fingerprints, op2_line_dedup, op3_pii, op4_quality_rules, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_near_dedup, op9_token_counts, op10_packing)}
