@@ -226,7 +226,7 @@ def header_cards_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.raw_card(parsed, "OBJECT").where("string <> 'second'").select("s_suppkey", F.col("string").alias("object"), "comment")
 
 
-@query("""SELECT s_suppkey, s_name || '''s' AS object, CAST(-32 AS BIGINT) AS bitpix, CAST(s_suppkey AS BIGINT) AS width, (s_nationkey + 0.5) * 10 AS exposure_seconds, CAST(32768 AS DOUBLE) AS bzero,
+@query("""SELECT s_suppkey, s_name || '''s' AS object, CAST(-32 AS BIGINT) AS bitpix, CAST(s_suppkey AS BIGINT) AS width, CAST((s_nationkey + 0.5) * 10 AS DOUBLE) AS exposure_seconds, CAST(32768 AS DOUBLE) AS bzero,
   'MasterDark' AS image_type, 'GRBG' AS bayer_pattern, CAST(7 AS BIGINT) AS subframe_y, epoch_us(TIMESTAMP '2024-01-02 03:04:05') AS observed FROM supplier""")
 def header_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = headers.images_exposure_time(headers.typed_header(headers.parse(_supplier_cards(spark, sf_dir))))
@@ -249,7 +249,7 @@ def header_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("s_suppkey", n.alias("n_cards"), H.header_bytes(n).alias("header_bytes"), H.data_bytes(F.lit(-32), F.array(F.col("s_suppkey").cast("bigint"), F.lit(7).cast("bigint"))).alias("data_bytes"))
 
 
-@query("""SELECT DISTINCT CAST(p_size AS BIGINT) AS repeat, letter, CASE letter WHEN 'X' THEN (p_size + 7) // 8 WHEN 'A' THEN p_size WHEN 'I' THEN 2 * p_size WHEN 'E' THEN 4 * p_size WHEN 'D' THEN 8 * p_size ELSE 16 * p_size END AS bytes
+@query("""SELECT DISTINCT CAST(p_size AS BIGINT) AS repeat, letter, CAST(CASE letter WHEN 'X' THEN (p_size + 7) // 8 WHEN 'A' THEN p_size WHEN 'I' THEN 2 * p_size WHEN 'E' THEN 4 * p_size WHEN 'D' THEN 8 * p_size ELSE 16 * p_size END AS BIGINT) AS bytes
   FROM part, (SELECT unnest(['X', 'A', 'I', 'E', 'D', 'M']) AS letter)""")
 def format_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = _table(spark, sf_dir, "part").select("p_size").distinct().select(F.explode(F.array(*(F.concat(F.col("p_size").cast("string"), F.lit(x)) for x in "XAIEDM"))).alias("tform"))
