@@ -5,9 +5,10 @@ in time. Sixteen filters compare areas of the frames' integral image (parts of t
 classes, both); each gives two bits in Gray code, which pack into a 32-bit code a frame. Frames are
 rounded to integers before they are summed, so codes don't depend on how rows are batched.
 
-Recordings with equal codes are one class. Queries' codes, once a run of equal ones, are an index that
-all classes are held against: equal codes vote for an offset, and the offset with the most votes is
-checked by the bit errors of all codes that overlap there.
+Recordings with equal codes are one class. Queries' codes, once a run of equal ones and each with the
+code GAP frames later, are an index that all classes are held against: equal pairs vote for an offset,
+and the offset with the most votes is checked by the bit errors of all codes that overlap there. Single
+codes of unlike recordings often agree, which would make votes grow with the square of the corpus.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SPAN = 16
 REACH = SPAN + len(SMOOTH) - 2
 #: (kind, first class, classes, frames), by a rule that varies all four.
 FILTERS = tuple((k % 4, (k * 5) % (13 - h), h, w) for k, (h, w) in enumerate((h, w) for w in (4, 8, 12, 16) for h in (2, 4, 6, 12)))
-MIN_VOTES, MAX_ERROR = 3, 0.15
+GAP, MIN_VOTES, MAX_ERROR = 8, 3, 0.15
 
 
 def _fold() -> np.ndarray:
@@ -157,25 +158,22 @@ def align(docs: DataFrame, id_col: str = "doc_id", media_col: str = "media", que
                     owner, at, code = [], [], []
                     for i, data in enumerate(part.column("codes").to_pylist()):
                         c = np.frombuffer(data, "<u4")
-                        p = _run_starts(c)
+                        p = _run_starts(c[: max(0, len(c) - GAP)])
+                        key = mix(c[p].astype(np.uint64) | (c[p + GAP].astype(np.uint64) << np.uint64(32)), 31)
                         if known is not None:
-                            p = p[blooms.has(known.value, mix(c[p].astype(np.uint64)))]
+                            hit = blooms.has(known.value, key)
+                            p, key = p[hit], key[hit]
                         owner.append(np.full(len(p), i))
                         at.append(p)
-                        code.append(c[p])
+                        code.append(key.view(np.int64))
                     own = pa.array(np.concatenate(owner).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([part.column("c").take(own), part.column("query_id").take(own), pa.array(np.concatenate(code).astype(np.int64)), pa.array(np.concatenate(at).astype(np.int64))], names=["c", "query_id", "code", "at"])
+                    yield pa.RecordBatch.from_arrays([part.column("c").take(own), part.column("query_id").take(own), pa.array(np.concatenate(code)), pa.array(np.concatenate(at).astype(np.int64))], names=["c", "query_id", "code", "at"])
 
         return df.select("c", "query_id", "codes").mapInArrow(run, "c long, query_id long, code long, at long")
 
     index = stash(postings(asked).select(F.col("query_id").alias("match_id"), "code", F.col("at").alias("query_at")), "index")
 
-    @lean
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy().astype(np.uint64)).view(np.int64))], names=["key"])
-
-    known = spark.sparkContext.broadcast(blooms.build(index.select("code").mapInArrow(keys, "key long"), n))
+    known = spark.sparkContext.broadcast(blooms.build(index.select("code"), n))
     votes = postings(group, known).join(index, "code").where(~F.col("match_id").eqNullSafe(F.col("query_id")))
     votes = votes.groupBy("c", "match_id", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("c").agg(F.min(F.struct((-F.col("votes")).alias("less"), "match_id", "offset")).alias("b")).select("c", F.col("b.match_id").alias("match_id"), F.col("b.offset").alias("match_offset"), (-F.col("b.less")).alias("votes"))

@@ -84,7 +84,7 @@ def test_align(spark):
     assert chroma.align(df.where("false")).count() == 0
     # brute force: votes of all offsets, of every class against every query class
     c = {i: chroma.fingerprint(w) for i, w in table}
-    starts = lambda x: {int(k): int(x[k]) for k in chroma._run_starts(x)}
+    starts = lambda x: {int(k): (int(x[k]), int(x[k + chroma.GAP])) for k in chroma._run_starts(x[: max(0, len(x) - chroma.GAP)])}
     for i, x in c.items():
         votes = collections.Counter()
         for q in (0, 100):
