@@ -5,10 +5,11 @@ in time. Sixteen filters compare areas of the frames' integral image (parts of t
 classes, both); each gives two bits in Gray code, which pack into a 32-bit code a frame. Frames are
 rounded to integers before they are summed, so codes don't depend on how rows are batched.
 
-Recordings with equal codes are one class. Queries' codes, once a run of equal ones and each with the
-code GAP frames later, are an index that all classes are held against: equal pairs vote for an offset,
-and the offset with the most votes is checked by the bit errors of all codes that overlap there. Single
-codes of unlike recordings often agree, which would make votes grow with the square of the corpus.
+Recordings with equal codes are one class. Queries' codes, once a run of equal ones, are indexes of a
+bounded size that all classes are held against: each code that differs in one bit at most proposes an
+offset, and every offset proposed is checked by the bit errors of all codes that overlap there. Codes of
+unlike recordings often agree, so what they propose grows with the square of the corpus; it is made,
+counted and checked in memory, a bounded number at a time, and never shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import blooms
 from .common import lean, mix, rolling, small_batches, stash
 
 #: Samples a second, a frame, and from frame to frame.
@@ -33,6 +33,12 @@ REACH = SPAN + len(SMOOTH) - 2
 #: (kind, first class, classes, frames), by a rule that varies all four.
 FILTERS = tuple((k % 4, (k * 5) % (13 - h), h, w) for k, (h, w) in enumerate((h, w) for w in (4, 8, 12, 16) for h in (2, 4, 6, 12)))
 GAP, MIN_VOTES, MAX_ERROR = 8, 3, 0.15
+#: An overlap of so many codes (of a frame that none of the first one's shares) needs no votes besides one code.
+LONG = REACH + 1
+#: Codes of a block of queries; runs, codes proposed, and overlapping codes that a task handles at a time.
+BLOCK, RUNS, HITS, CELLS = 1 << 21, 1 << 15, 1 << 20, 1 << 21
+#: What a code may differ in.
+_PROBES = np.array([0, *(1 << k for k in range(32))], np.uint32)
 
 
 def _fold() -> np.ndarray:
@@ -88,11 +94,14 @@ def codes(chroma: np.ndarray) -> np.ndarray:
     return out
 
 
+def _samples(data: bytes | np.ndarray, pcm: str) -> np.ndarray:
+    samples = np.frombuffer(data, np.uint8) if not isinstance(data, np.ndarray) else data
+    return samples[: len(samples) // 2 * 2].view("<i2") if pcm == "s16" else samples
+
+
 def fingerprint(data: bytes | np.ndarray, pcm: str = "u8") -> np.ndarray:
     """The codes of one recording: unsigned 8-bit (u8) or signed little-endian 16-bit (s16) mono samples."""
-    samples = np.frombuffer(data, np.uint8) if not isinstance(data, np.ndarray) else data
-    if pcm == "s16":
-        samples = samples[: len(samples) // 2 * 2].view("<i2")
+    samples = _samples(data, pcm)
     if len(samples) < FRAME:
         return np.empty(0, np.uint32)
     out, step = [], 1 << 15
@@ -130,71 +139,143 @@ def fingerprints(docs: DataFrame, id_col: str, media_col: str, pcm: str = "u8")
     return picked.mapInArrow(run, "id long, n_samples long, n_codes long, lo long, hi long, codes binary")
 
 
-def align(docs: DataFrame, id_col: str = "doc_id", media_col: str = "media", query: Column | None = None, pcm: str = "u8", min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> DataFrame:
+def _flat(recordings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All codes of recordings, each one's first place and number, and all starts of runs: recording, place in it."""
+    n = np.array([len(c) for c in recordings], np.int64)
+    runs = [_run_starts(c) for c in recordings]
+    own = np.repeat(np.arange(len(n)), np.array([len(r) for r in runs], np.int64))
+    return np.concatenate([*recordings, np.empty(0, np.uint32)]), np.cumsum(n) - n, n, own, np.concatenate([*runs, np.empty(0, np.int64)])
+
+
+def indexed(ids: np.ndarray, recordings: list[np.ndarray]) -> tuple:
+    """Queries' ids and codes, and the starts of runs by code."""
+    flat, first, n, own, at = _flat(recordings)
+    key = flat[first[own] + at]
+    order = np.argsort(key, kind="stable")
+    return ids, flat, first, n, np.bincount(own, minlength=len(n)), key[order], own[order], at[order]
+
+
+def _chunks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield a, b
+        a = b
+
+
+def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1 and so on, count of each."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def search(recordings: list[np.ndarray], index: tuple) -> dict[str, np.ndarray]:
+    """Each (own, query, offset) that a code proposes: votes, near, overlap, bit_errors, needed.
+
+    near counts the codes that differ in one bit at most, votes the equal ones that are followed by
+    another equal one GAP codes later; needed is how many codes the shorter recording has, once a run,
+    if all of it overlaps.
+    """
+    ids, flat, first, n, runs, key, owner, at = index
+    mine, begin, m, i, p = _flat(recordings)
+    own_runs = np.bincount(i, minlength=len(m))
+    packed, near, votes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for r in range(0, len(p), RUNS):
+        code = (mine[begin[i[r : r + RUNS]] + p[r : r + RUNS]][:, None] ^ _PROBES).ravel()
+        low = np.searchsorted(key, code)
+        there = np.flatnonzero((low < len(key)) & (np.append(key, np.uint32(0))[low] == code))
+        low, exact, run = low[there], there % len(_PROBES) == 0, r + there // len(_PROBES)
+        count = np.searchsorted(key, code[there], side="right") - low
+        for a, b in _chunks(count, HITS):
+            which, slot = np.repeat(np.arange(a, b), count[a:b]), _places(low[a:b], count[a:b])
+            k, o, x, y = i[run[which]], owner[slot], p[run[which]], at[slot]
+            pair = exact[which] & (x + GAP < m[k]) & (y + GAP < n[o])
+            pair[pair] = mine[(begin[k] + x + GAP)[pair]] == flat[(first[o] + y + GAP)[pair]]
+            u, where = np.unique(((k * len(ids) + o) << 32) + (x - y + (1 << 31)), return_inverse=True)
+            packed.append(u)
+            near.append(np.bincount(where, minlength=len(u)))
+            votes.append(np.bincount(where[pair], minlength=len(u)))
+    u, where = np.unique(np.concatenate(packed), return_inverse=True)
+    near, votes = (np.bincount(where, np.concatenate(v), len(u)).astype(np.int64) for v in (near, votes))
+    k, o = np.divmod(u >> 32, max(1, len(ids)))
+    offset = (u & 0xFFFFFFFF) - (1 << 31)
+    start = np.maximum(0, offset)
+    over = np.minimum(m[k], n[o] + offset) - start
+    wrong = np.zeros(len(u), np.int64)
+    for a, b in _chunks(over, CELLS):
+        c = over[a:b]
+        bits = np.bitwise_count(mine[_places((begin[k] + start)[a:b], c)] ^ flat[_places((first[o] + start - offset)[a:b], c)])
+        wrong[a:b] = np.add.reduceat(bits, np.cumsum(c) - c, dtype=np.int64)
+    shorter = np.where(m[k] < n[o], own_runs[k], np.where(m[k] > n[o], runs[o], np.minimum(own_runs[k], runs[o])))
+    needed = np.where(over == np.minimum(m[k], n[o]), shorter, np.iinfo(np.int64).max)
+    return {"own": k, "query": o, "offset": offset, "votes": votes, "near": near, "overlap": over, "bit_errors": wrong, "needed": needed}
+
+
+def passing(s: dict[str, np.ndarray], min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> np.ndarray:
+    enough = (s["overlap"] >= LONG) | (s["near"] >= np.minimum(min_votes, s["needed"]))
+    return enough & (s["bit_errors"] <= max_error * 32 * s["overlap"])
+
+
+_FOUND = "match_id long, match_offset long, votes long, overlap long, bit_errors long"
+
+
+def _matched(part: pa.RecordBatch, index: tuple, min_votes: int, max_error: float) -> pa.RecordBatch:
+    """The classes of a batch with their best offset in a block."""
+    s = search([np.frombuffer(x, "<u4") for x in part.column("codes").to_pylist()], index)
+    own = part.column("query_id")
+    query = index[0][s["query"]] if len(s["query"]) else s["query"]
+    same = own.is_valid().to_numpy(zero_copy_only=False)[s["own"]] & (own.fill_null(0).to_numpy()[s["own"]] == query)
+    ok = passing(s, min_votes, max_error)
+    order = np.lexsort((s["offset"], query, -s["votes"], s["own"]))
+    order = order[~same[order] & (ok | (s["votes"] > 0))[order]]
+    k, best = np.unique(s["own"][order], return_index=True)
+    at = np.full(part.num_rows, -1)
+    at[k] = order[best]
+    values = {"match_id": query, "match_offset": s["offset"], "votes": s["votes"], "overlap": s["overlap"], "bit_errors": s["bit_errors"], "near": s["near"], "aligned": ok}
+    take = pa.array(at, mask=at < 0)
+    cols = {c: pa.array(v).take(take) if len(v) else pa.nulls(part.num_rows, pa.bool_() if c == "aligned" else pa.int64()) for c, v in values.items()}
+    return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lo", "hi", "class_id")), *cols.values()], names=["lo", "hi", "class_id", *cols])
+
+
+def align(docs: DataFrame, id_col: str = "doc_id", media_col: str = "media", query: Column | None = None, pcm: str = "u8", min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR, block: int = BLOCK) -> DataFrame:
     """One row a row: id, n_samples, n_codes, class_id, match_id, match_offset, votes, overlap, bit_errors, aligned.
 
-    class_id is the least id with the same codes. match_* is the query recording (query: a condition on
-    ``id``, by default ids divisible by 100) of another class with the most votes for one offset, ties
-    to the least id, then the least offset; offset is in frames, the row's less the query's. overlap
-    is the number of codes that overlap there, bit_errors what differs in them, aligned whether votes
-    and errors are within the limits. Null and short recordings have no codes and no class; null ids are
-    above all others; repeated rows are of one class; an empty table gives no rows. Other columns are
-    not read.
+    class_id is the least id with the same codes. match_* is the query recording (query: a condition
+    on ``id``, by default ids divisible by 100) of another class and the offset with the most votes, ties to
+    the least id, then the least offset; offset is in frames, the row's less the query's. overlap is the number of codes that overlap
+    there, bit_errors what differs in them, votes the equal pairs of codes GAP apart. A row is aligned
+    where bit_errors is within max_error and the overlap is LONG or min_votes codes, or all codes of a
+    shorter recording that is all overlapped, agree but for one bit. Null and short recordings have no codes and no class;
+    null ids are above all others; repeated rows are of one class; an empty table gives no rows. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     query = F.col("id") % 100 == 0 if query is None else query
     made = stash(fingerprints(docs, id_col, media_col, pcm), "fingerprints")
     group = made.where("n_codes > 0").groupBy("lo", "hi").agg(F.min("id").alias("class_id"), F.min(F.when(query, F.col("id"))).alias("query_id"), F.any_value("n_codes").alias("n_codes"), F.any_value("codes").alias("codes"))
-    group = stash(group.withColumn("c", F.monotonically_increasing_id()), "classes")
+    group = stash(group, "classes")
     asked = group.where("query_id is not null")
-    n = asked.agg(F.coalesce(F.sum("n_codes"), F.lit(0))).first()[0]
+    blocks = max(1, -(-asked.agg(F.coalesce(F.sum("n_codes"), F.lit(0))).first()[0] // block))
+
+    def against(k: int) -> DataFrame:
+        rows = sorted(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).select("query_id", "codes").collect())  # a block at most
+        index = spark.sparkContext.broadcast(indexed(np.array([r[0] for r in rows], np.int64), [np.frombuffer(r[1], "<u4") for r in rows]))
 
-    def postings(df: DataFrame, known=None) -> DataFrame:
         @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for a in range(0, b.num_rows, 64):
-                    part = b.slice(a, 64)
-                    owner, at, code = [], [], []
-                    for i, data in enumerate(part.column("codes").to_pylist()):
-                        c = np.frombuffer(data, "<u4")
-                        p = _run_starts(c[: max(0, len(c) - GAP)])
-                        key = mix(c[p].astype(np.uint64) | (c[p + GAP].astype(np.uint64) << np.uint64(32)), 31)
-                        if known is not None:
-                            hit = blooms.has(known.value, key)
-                            p, key = p[hit], key[hit]
-                        owner.append(np.full(len(p), i))
-                        at.append(p)
-                        code.append(key.view(np.int64))
-                    own = pa.array(np.concatenate(owner).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([part.column("c").take(own), part.column("query_id").take(own), pa.array(np.concatenate(code)), pa.array(np.concatenate(at).astype(np.int64))], names=["c", "query_id", "code", "at"])
-
-        return df.select("c", "query_id", "codes").mapInArrow(run, "c long, query_id long, code long, at long")
-
-    index = stash(postings(asked).select(F.col("query_id").alias("match_id"), "code", F.col("at").alias("query_at")), "index")
-
-    known = spark.sparkContext.broadcast(blooms.build(index.select("code"), n))
-    votes = postings(group, known).join(index, "code").where(~F.col("match_id").eqNullSafe(F.col("query_id")))
-    votes = votes.groupBy("c", "match_id", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("c").agg(F.min(F.struct((-F.col("votes")).alias("less"), "match_id", "offset")).alias("b")).select("c", F.col("b.match_id").alias("match_id"), F.col("b.offset").alias("match_offset"), (-F.col("b.less")).alias("votes"))
-    best = stash(best, "best")
-    pairs = best.join(group.select("c", "codes"), "c").join(asked.select(F.col("query_id").alias("match_id"), F.col("codes").alias("asked")), "match_id")
-
-    @lean
-    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            over, wrong = [], []
-            for own, other, offset in zip(*(b.column(k).to_pylist() for k in ("codes", "asked", "match_offset"))):
-                x, y = np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4")
-                first, stop = max(0, offset), min(len(x), len(y) + offset)
-                over.append(stop - first)
-                wrong.append(int(np.bitwise_count(x[first:stop] ^ y[first - offset : stop - offset]).sum()))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("c", "match_id", "match_offset", "votes")), pa.array(over, pa.int64()), pa.array(wrong, pa.int64())], names=["c", "match_id", "match_offset", "votes", "overlap", "bit_errors"])
-
-    checked = pairs.select("c", "match_id", "match_offset", "votes", "codes", "asked").mapInArrow(errors, "c long, match_id long, match_offset long, votes long, overlap long, bit_errors long")
-    known_class = stash(group.select("lo", "hi", "class_id", "c").join(checked, "c", "left").drop("c"), "checked")
-    out = made.select("id", "n_samples", "n_codes", "lo", "hi").join(known_class, ["lo", "hi"], "left")
-    ok = (F.col("votes") >= min_votes) & (F.col("bit_errors") <= max_error * 32 * F.col("overlap"))
+                    yield _matched(b.slice(a, 64), index.value, min_votes, max_error)
+
+        return group.select("lo", "hi", "class_id", "query_id", "codes").mapInArrow(run, f"lo long, hi long, class_id long, {_FOUND}, near long, aligned boolean")
+
+    found = [stash(against(k), "matched") for k in range(blocks)]
+    known = found[0]
+    if blocks > 1:
+        for other in found[1:]:
+            known = known.union(other)
+        rank = F.struct(-F.col("votes"), "match_id", "match_offset", F.struct("match_id", "match_offset", "votes", "overlap", "bit_errors", "aligned").alias("best"))
+        known = known.groupBy("lo", "hi", "class_id").agg(F.min(F.when(F.col("match_id").isNotNull(), rank))["best"].alias("b")).select("lo", "hi", "class_id", "b.*")
+    out = made.select("id", "n_samples", "n_codes", "lo", "hi").join(known.drop("near"), ["lo", "hi"], "left")
     has = F.col("n_codes") > 0
     keep = lambda c: F.when(has, F.col(c)).alias(c)
-    return out.select(F.col("id").alias(id_col), "n_samples", "n_codes", *(keep(c) for c in ("class_id", "match_id", "match_offset", "votes", "overlap", "bit_errors")), F.coalesce(has & ok, F.lit(False)).alias("aligned"))
+    return out.select(F.col("id").alias(id_col), "n_samples", "n_codes", *(keep(c) for c in ("class_id", "match_id", "match_offset", "votes", "overlap", "bit_errors")), F.coalesce(has & F.col("aligned"), F.lit(False)).alias("aligned"))

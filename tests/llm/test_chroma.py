@@ -97,3 +97,39 @@ def test_align(spark):
         best = min(((-n, q, o) for (q, o), n in votes.items()), default=None)
         r = got[i]
         assert (None if r["votes"] is None else (-r["votes"], r["match_id"], r["match_offset"])) == best, i
+
+
+def brute_pairs(recordings, queries):
+    """(recording, query) with an offset of few bit errors, of all offsets where LONG codes or all of one overlap."""
+    out = set()
+    for i, x in enumerate(recordings):
+        for j, q in enumerate(queries):
+            for offset in range(1 - len(q), len(x)):
+                a, b = max(0, offset), min(len(x), len(q) + offset)
+                if b - a >= min(chroma.LONG, len(x), len(q)) and np.bitwise_count(x[a:b] ^ q[a - offset : b - offset]).sum() <= chroma.MAX_ERROR * 32 * (b - a):
+                    out.add((i, j))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("noise", [2, 8, 20])
+def test_recall_off_the_grid(noise):
+    r = np.random.default_rng(noise)
+    tunes = [tune(100 + i) for i in range(40)]
+    queries = [chroma.fingerprint(w) for w in tunes]
+    copies = []
+    for i, w in enumerate(tunes):
+        w = np.concatenate([tune(900 + i, 0.3)[: int(r.integers(1, 2000))], w[int(r.integers(0, 3000)) :]])
+        copies.append(chroma.fingerprint(np.clip(w.astype(int) + r.integers(-noise, noise + 1, len(w)), 0, 255).astype(np.uint8)))
+    s = chroma.search(copies, chroma.indexed(np.arange(40), queries))
+    ok = chroma.passing(s)
+    got = {*zip(s["own"][ok].tolist(), s["query"][ok].tolist())}
+    want = brute_pairs(copies, queries)
+    assert len(got & want) >= 0.9 * len(want) and {(i, i) for i in range(40)} & want <= got
+
+
+def test_few_codes_match(spark):
+    a = tune(3)
+    rows = [(0, a.tobytes())] + [(n, a[640 : 640 + 864 + 32 * (n - 1)].tobytes()) for n in range(1, 9)]
+    got = {r["doc_id"]: r for r in chroma.align(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert all((got[n]["n_codes"], got[n]["match_id"], got[n]["match_offset"], got[n]["bit_errors"], got[n]["aligned"]) == (n, 0, -20, 0, True) for n in range(1, 9))
