@@ -219,13 +219,13 @@ _FOUND = "match_id long, match_offset long, votes long, overlap long, bit_errors
 
 
 def _matched(part: pa.RecordBatch, index: tuple, min_votes: int, max_error: float) -> pa.RecordBatch:
-    """The classes of a batch with their best offset in a block."""
+    """The classes of a batch with their best offset and all aligned queries of a block."""
     s = search([np.frombuffer(x, "<u4") for x in part.column("codes").to_pylist()], index)
     own = part.column("query_id")
     query = index[0][s["query"]] if len(s["query"]) else s["query"]
     same = own.is_valid().to_numpy(zero_copy_only=False)[s["own"]] & (own.fill_null(0).to_numpy()[s["own"]] == query)
     ok = passing(s, min_votes, max_error)
-    order = np.lexsort((s["offset"], query, -s["votes"], s["own"]))
+    order = np.lexsort((s["offset"], query, np.where(ok, -s["near"], 0), -s["votes"], ~ok, s["own"]))
     order = order[~same[order] & (ok | (s["votes"] > 0))[order]]
     k, best = np.unique(s["own"][order], return_index=True)
     at = np.full(part.num_rows, -1)
@@ -233,18 +233,27 @@ def _matched(part: pa.RecordBatch, index: tuple, min_votes: int, max_error: floa
     values = {"match_id": query, "match_offset": s["offset"], "votes": s["votes"], "overlap": s["overlap"], "bit_errors": s["bit_errors"], "near": s["near"], "aligned": ok}
     take = pa.array(at, mask=at < 0)
     cols = {c: pa.array(v).take(take) if len(v) else pa.nulls(part.num_rows, pa.bool_() if c == "aligned" else pa.int64()) for c, v in values.items()}
-    return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lo", "hi", "class_id")), *cols.values()], names=["lo", "hi", "class_id", *cols])
+    order = order[ok[order]]
+    _, one = np.unique(np.stack([s["own"][order], query[order]], 1), axis=0, return_index=True)
+    every = order[one]
+    ends = np.append(0, np.cumsum(np.bincount(s["own"][every], minlength=part.num_rows))).astype(np.int32)
+    names = [f.split()[0] for f in _FOUND.split(", ")]
+    matches = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(values[c][every].astype(np.int64)) for c in names], names))
+    return pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lo", "hi", "class_id")), *cols.values(), matches], names=["lo", "hi", "class_id", *cols, "matches"])
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", media_col: str = "media", query: Column | None = None, pcm: str = "u8", min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR, block: int = BLOCK) -> DataFrame:
-    """One row a row: id, n_samples, n_codes, class_id, match_id, match_offset, votes, overlap, bit_errors, aligned.
+    """One row a row: id, n_samples, n_codes, class_id, match_id, match_offset, votes, overlap, bit_errors, aligned, matches.
 
-    class_id is the least id with the same codes. match_* is the query recording (query: a condition
-    on ``id``, by default ids divisible by 100) of another class and the offset with the most votes, ties to
-    the least id, then the least offset; offset is in frames, the row's less the query's. overlap is the number of codes that overlap
+    class_id is the least id with the same codes. matches are the query recordings (query: a condition
+    on ``id``, by default ids divisible by 100) of other classes with which the row is aligned, each by
+    its least id and once, at the offset with the most votes, then the most near codes, then the least
+    offset; offset is in frames, the row's less the query's. overlap is the number of codes that overlap
     there, bit_errors what differs in them, votes the equal pairs of codes GAP apart. A row is aligned
     where bit_errors is within max_error and the overlap is LONG or min_votes codes, or all codes of a
-    shorter recording that is all overlapped, agree but for one bit. Null and short recordings have no codes and no class;
+    shorter recording that is all overlapped, agree but for one bit. match_id and what follows are of
+    the aligned query with the most votes, then near codes, ties to the least id; where none is aligned,
+    of the query and offset with the most votes. Null and short recordings have no codes and no class;
     null ids are above all others; repeated rows are of one class; an empty table gives no rows. Other
     columns are not read.
     """
@@ -266,16 +275,16 @@ def align(docs: DataFrame, id_col: str = "doc_id", media_col: str = "media", que
                 for a in range(0, b.num_rows, 64):
                     yield _matched(b.slice(a, 64), index.value, min_votes, max_error)
 
-        return group.select("lo", "hi", "class_id", "query_id", "codes").mapInArrow(run, f"lo long, hi long, class_id long, {_FOUND}, near long, aligned boolean")
+        return group.select("lo", "hi", "class_id", "query_id", "codes").mapInArrow(run, f"lo long, hi long, class_id long, {_FOUND}, near long, aligned boolean, matches array<struct<{_FOUND}>>")
 
     found = [stash(against(k), "matched") for k in range(blocks)]
     known = found[0]
     if blocks > 1:
         for other in found[1:]:
             known = known.union(other)
-        rank = F.struct(-F.col("votes"), "match_id", "match_offset", F.struct("match_id", "match_offset", "votes", "overlap", "bit_errors", "aligned").alias("best"))
-        known = known.groupBy("lo", "hi", "class_id").agg(F.min(F.when(F.col("match_id").isNotNull(), rank))["best"].alias("b")).select("lo", "hi", "class_id", "b.*")
+        rank = F.struct(~F.col("aligned"), -F.col("votes"), F.when(F.col("aligned"), -F.col("near")).otherwise(0), "match_id", "match_offset", F.struct("match_id", "match_offset", "votes", "overlap", "bit_errors", "aligned").alias("best"))
+        known = known.groupBy("lo", "hi", "class_id").agg(F.min(F.when(F.col("match_id").isNotNull(), rank))["best"].alias("b"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches")).select("lo", "hi", "class_id", "b.*", "matches")
     out = made.select("id", "n_samples", "n_codes", "lo", "hi").join(known.drop("near"), ["lo", "hi"], "left")
     has = F.col("n_codes") > 0
     keep = lambda c: F.when(has, F.col(c)).alias(c)
-    return out.select(F.col("id").alias(id_col), "n_samples", "n_codes", *(keep(c) for c in ("class_id", "match_id", "match_offset", "votes", "overlap", "bit_errors")), F.coalesce(has & F.col("aligned"), F.lit(False)).alias("aligned"))
+    return out.select(F.col("id").alias(id_col), "n_samples", "n_codes", *(keep(c) for c in ("class_id", "match_id", "match_offset", "votes", "overlap", "bit_errors")), F.coalesce(has & F.col("aligned"), F.lit(False)).alias("aligned"), F.coalesce(keep("matches"), F.array().cast(known.schema["matches"].dataType)).alias("matches"))

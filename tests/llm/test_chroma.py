@@ -133,3 +133,25 @@ def test_few_codes_match(spark):
     rows = [(0, a.tobytes())] + [(n, a[640 : 640 + 864 + 32 * (n - 1)].tobytes()) for n in range(1, 9)]
     got = {r["doc_id"]: r for r in chroma.align(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
     assert all((got[n]["n_codes"], got[n]["match_id"], got[n]["match_offset"], got[n]["bit_errors"], got[n]["aligned"]) == (n, 0, -20, 0, True) for n in range(1, 9))
+
+
+def test_all_aligned_queries(spark):
+    a, b = tune(3), tune(4)
+    noisy = lambda w, seed: np.clip(w.astype(int) + np.random.default_rng(seed).integers(-3, 4, len(w)), 0, 255).astype(np.uint8)
+    table = [(0, a), (100, noisy(a, 1)), (200, noisy(a, 2)), (300, b), (1, noisy(a, 3)), (2, np.concatenate([noisy(a, 4), noisy(b, 5)])), (3, tune(9))]
+    df = spark.createDataFrame([(i, w.tobytes()) for i, w in table], "doc_id long, media binary")
+    whole = {r["doc_id"]: r for r in chroma.align(df).collect()}
+    of = {i: [m["match_id"] for m in r["matches"]] for i, r in whole.items()}
+    assert of == {0: [100, 200], 100: [0, 200], 200: [0, 100], 300: [], 1: [0, 100, 200], 2: [0, 100, 200, 300], 3: []}
+    assert all(r["match_id"] in of[i] for i, r in whole.items() if r["aligned"])
+    assert {r["doc_id"]: r for r in chroma.align(df, block=100).collect()} == whole
+    none = chroma.align(df, query=chroma.F.lit(False)).collect()
+    assert len(none) == len(table) and not any(r["aligned"] or r["matches"] for r in none)
+
+
+def test_best_is_among_those_that_pass(spark):
+    """More votes of a passage that both share, but different otherwise, against a short query that is all there."""
+    a, b, c = tune(21, 1.0), tune(22, 2.0), tune(23, 2.0)
+    table = [(0, np.concatenate([a, b])), (100, a[800:5600]), (1, np.concatenate([a, c]))]
+    r = {r["doc_id"]: r for r in chroma.align(spark.createDataFrame([(i, w.tobytes()) for i, w in table], "doc_id long, media binary")).collect()}[1]
+    assert (r["match_id"], r["aligned"]) == (100, True)
