@@ -111,12 +111,23 @@ def fingerprint(data: bytes | np.ndarray, pcm: str = "u8") -> np.ndarray:
     return np.concatenate(out)
 
 
+def held(data: bytes | np.ndarray, pcm: str = "u8") -> np.ndarray:
+    """The codes of a recording too short for fingerprint: a code a frame, the last frame held; less than a frame is filled with its mean."""
+    samples = _samples(data, pcm)
+    if not len(samples):
+        return np.empty(0, np.uint32)
+    if len(samples) < FRAME:
+        samples = np.append(samples, np.full(FRAME - len(samples), np.rint(samples.mean())).astype(samples.dtype))
+    own = frames(samples, np.arange((len(samples) - FRAME) // HOP + 1) * HOP)
+    return codes(np.concatenate([own, np.repeat(own[-1:], REACH, 0)]))
+
+
 def _run_starts(c: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str, media_col: str, pcm: str = "u8") -> DataFrame:
-    """(id, n_samples, n_codes, lo, hi, codes): codes as little-endian bytes, lo and hi a digest of them."""
+    """(id, n_samples, n_codes, lo, hi, codes): codes as little-endian bytes, lo and hi a digest of them, of short recordings one of the samples."""
     small_batches(docs.sparkSession)
     width = 2 if pcm == "s16" else 1
 
@@ -130,6 +141,8 @@ def fingerprints(docs: DataFrame, id_col: str, media_col: str, pcm: str = "u8")
                     c = fingerprint(data or b"", pcm)
                     own = c.tobytes()
                     h = mix(c.astype(np.uint64), 21)
+                    if not len(c):  # held frames are alike in most bits, so samples tell these apart
+                        own, h = (c := held(data or b"", pcm)).tobytes(), mix(_samples(data or b"", pcm).astype(np.uint64), 22)
                     digest = [int(rolling(mix(h, k), len(h), 0x9E3779B97F4A7C15 + 2 * k)[0]) if len(h) else 0 for k in (1, 2)]
                     rows.append((len(data or b"") // width, len(c), *(x - (1 << 64) if x >> 63 else x for x in digest), own))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -245,7 +258,8 @@ def _matched(part: pa.RecordBatch, index: tuple, min_votes: int, max_error: floa
 def align(docs: DataFrame, id_col: str = "doc_id", media_col: str = "media", query: Column | None = None, pcm: str = "u8", min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR, block: int = BLOCK) -> DataFrame:
     """One row a row: id, n_samples, n_codes, class_id, match_id, match_offset, votes, overlap, bit_errors, aligned, matches.
 
-    class_id is the least id with the same codes. matches are the query recordings (query: a condition
+    class_id is the least id with the same codes, or, of recordings with too few frames for a code (held), the
+    same samples. matches are the query recordings (query: a condition
     on ``id``, by default ids divisible by 100) of other classes with which the row is aligned, each by
     its least id and once, at the offset with the most votes, then the most near codes, then the least
     offset; offset is in frames, the row's less the query's. overlap is the number of codes that overlap
@@ -253,7 +267,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", media_col: str = "media", que
     where bit_errors is within max_error and the overlap is LONG or min_votes codes, or all codes of a
     shorter recording that is all overlapped, agree but for one bit. match_id and what follows are of
     the aligned query with the most votes, then near codes, ties to the least id; where none is aligned,
-    of the query and offset with the most votes. Null and short recordings have no codes and no class;
+    of the query and offset with the most votes. Null and empty recordings have no codes and no class;
     null ids are above all others; repeated rows are of one class; an empty table gives no rows. Other
     columns are not read.
     """

@@ -155,3 +155,13 @@ def test_best_is_among_those_that_pass(spark):
     table = [(0, np.concatenate([a, b])), (100, a[800:5600]), (1, np.concatenate([a, c]))]
     r = {r["doc_id"]: r for r in chroma.align(spark.createDataFrame([(i, w.tobytes()) for i, w in table], "doc_id long, media binary")).collect()}[1]
     assert (r["match_id"], r["aligned"]) == (100, True)
+
+
+def test_short_recordings(spark):
+    a, b = tune(3), tune(4)
+    table = [(0, a[:500]), (1, a[:500]), (2, b[:500]), (3, b[:7]), (4, b[:7]), (5, b[:8]), (6, a[32:500]), (7, a[:1])]
+    df = spark.createDataFrame([(i, w.tobytes()) for i, w in table] + [(8, b""), (9, None)], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in chroma.align(df).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: None, 9: None}
+    assert [got[i]["n_codes"] for i in range(10)] == [8, 8, 8, 1, 1, 1, 7, 1, 0, 0]
+    assert (got[6]["match_id"], got[6]["match_offset"], got[6]["aligned"]) == (0, -1, True)
