@@ -2,8 +2,8 @@
 
 Candidates are what the three base patterns and some high-recall generators find in whole texts. A
 candidate's value is reduced to a hash, and hashes are counted over the whole corpus by distinct
-repositories and distinct owners: a value that many owners hold is a copied example, one that a
-single owner holds looks live. Base spans always stay; a generator's span is added where its value
+repositories and distinct owners: a value that many owners hold, or that is in many repositories
+of each, is a copied example, one that a single owner holds in few looks live. Base spans always stay; a generator's span is added where its value
 is owner-specific and looks random.
 
 Only candidates' hashes are shuffled, in three partial aggregations (by value, owner and repository;
@@ -27,6 +27,8 @@ from .common import lean, small_batches, stash, text_slices
 
 #: A value that more owners than this hold is a widely copied example.
 MAX_OWNERS = 2
+#: So is one in more repositories an owner than this.
+MAX_REPOS = 8
 #: Bits a character from which a generator's value looks random.
 MIN_ENTROPY = 3.0
 KINDS = ("assign", "access", "hex", "github", "slack", "jwt", "key", "base64")
@@ -78,12 +80,13 @@ def _text(spans: list[tuple[int, str, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end, _ in spans)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row a row: id, n_assign, n_access, n_hex, base_sha256, spans, live_spans, n_live, n_copied.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """One row a row: id, n_assign, n_access, n_hex, base_sha256, spans, live_spans, n_live, n_copied, counts.
 
     Spans are kind:start:end in code points, by start, then by kind as in KINDS. spans holds the base
     spans and those of the generators whose value at most max_owners owners hold; live_spans holds
-    those of both whose value is that rare, n_copied counts the other ones. A null owner or
+    those of both whose value is that rare, n_copied counts the other ones. A value is also not rare in
+    more than max_repos repositories an owner. counts are all spans, each with :owners:repositories. A null owner or
     repository is one of its own; repeated rows are of the same repository and don't make a value
     frequent. Null and empty texts have no spans; null ids stay null; an empty table gives no rows.
     Other columns, whatever their names, are not read.
@@ -114,10 +117,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_repo = each.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
     by_owner = by_repo.groupBy("value", "owner").agg(F.count("*").alias("repos"))
     owned = stash(by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")), "owned")
-    live = F.col("owners") <= max_owners
-    span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("nr"), F.concat_ws(":", "kind", "start", "end").alias("span"), (live | ~F.col("added")).alias("shown"), live.alias("live"))
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos * F.col("owners"))
+    span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("nr"), F.concat_ws(":", "kind", "start", "end").alias("span"), (live | ~F.col("added")).alias("shown"), live.alias("live"), F.concat_ws(":", "kind", "start", "end", "owners", "repos").alias("counted"))
     judged = each.join(owned, "value").groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(span)).alias("judged"))
     out = scanned.join(judged, F.col("row") == F.col("of"), "left")
     of = lambda pick: F.filter(F.coalesce("judged", F.expr("array()").cast(judged.schema["judged"].dataType)), pick)
-    said = lambda pick: F.array_join(F.transform(of(pick), lambda x: x["span"]), ",")
-    return out.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", said(lambda x: x["shown"]).alias("spans"), said(lambda x: x["live"]).alias("live_spans"), F.size(of(lambda x: x["live"])).cast("long").alias("n_live"), F.size(of(lambda x: ~x["live"])).cast("long").alias("n_copied"))
+    said = lambda pick, name="span": F.array_join(F.transform(of(pick), lambda x: x[name]), ",")
+    return out.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", said(lambda x: x["shown"]).alias("spans"), said(lambda x: x["live"]).alias("live_spans"), F.size(of(lambda x: x["live"])).cast("long").alias("n_live"), F.size(of(lambda x: ~x["live"])).cast("long").alias("n_copied"), said(lambda x: F.lit(True), "counted").alias("counts"))

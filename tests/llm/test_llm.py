@@ -440,3 +440,13 @@ def test_queries_against_sql(spark, name):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     found = con.sql(oracles.ORACLES[name])
     assert rows(queries.QUERIES[name](spark, SF).select(*found.columns)) == sorted(found.fetchall(), key=repr)
+
+
+def test_secrets_of_a_hot_source(spark):
+    from astraframe.llm.secrets import scan_secrets
+
+    copied, own = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1eF3hJ5", "ghp_" + "Zz3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1eF3hJ6"
+    some = spark.createDataFrame([(i, f"see {copied}" + (f" or {own}" if i == 0 else ""), "hot") for i in range(50)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in scan_secrets(some).collect()}
+    assert got[1]["spans"] == got[1]["live_spans"] == "" and got[1]["n_copied"] == 1 and got[1]["counts"] == "github:4:44:1:50"
+    assert got[0]["spans"] == "github:48:88" and got[0]["counts"] == "github:4:44:1:50,github:48:88:1:1"
