@@ -36,6 +36,8 @@ GENERATORS = (
     ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"),
 )
+#: What any match of the email generator holds.
+_AT = r"@|\(at\)|\[at\]|\x20at\x20"
 #: Rows of training sentences; every other one is held out for calibration.
 TRAINING_ROWS = 3000
 TREES, DEPTH, RATE, PRECISION = 40, 2, 0.3, 0.97
@@ -119,7 +121,7 @@ def _kept(k: int) -> Callable[[Column], Column]:
 
 def candidates(text: Column) -> Column:
     """All generators' spans with kind numbers and contexts: array<struct<k, s, e, m, before, after>>."""
-    some = {"email": F.contains(text, F.lit("@")) | F.contains(text, F.lit("dot")), "iban": F.regexp_like(text, F.lit("[A-Z]{2}[0-9]{2}"))}
+    some = {"email": F.regexp_like(text, F.lit(_AT)), "iban": F.regexp_like(text, F.lit("[A-Z]{2}[0-9]{2}"))}
     digit = F.regexp_like(text, F.lit("[0-9]{3}"))
     lists = []
     for kind, pattern in GENERATORS:
@@ -273,7 +275,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     text = F.col("text")
     df = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     base = base_spans(text)
-    df = df.select("id", "text", *(s.alias(k) for k, s in base.items()), F.when(F.regexp_like(text, F.lit("[0-9]|@|dot")), candidates(text)).otherwise(F.filter(candidates(F.lit("")), lambda c: F.lit(False))).alias("proposed"))
+    df = df.select("id", "text", *(s.alias(k) for k, s in base.items()), F.when(F.regexp_like(text, F.lit(rf"[0-9]|{_AT}")), candidates(text)).otherwise(F.filter(candidates(F.lit("")), lambda c: F.lit(False))).alias("proposed"))
     of_base = F.concat(*(F.transform(F.col(k), _kept(KINDS.index(k))) for k in base))
     limit = F.create_map(*(F.lit(v) for k in range(len(KINDS)) for v in (k, cut.get(k, math.inf))))
     selected = F.filter(F.transform(F.col("proposed"), lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), F.element_at(F.transform(F.array(features(c)), lambda x: compiled(trees, x)), 1).alias("score"))), lambda c: (c["score"] >= F.element_at(limit, c["k"])) & ~F.exists(F.col("base"), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))

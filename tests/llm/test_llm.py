@@ -450,3 +450,14 @@ def test_secrets_of_a_hot_source(spark):
     got = {r["doc_id"]: r for r in scan_secrets(some).collect()}
     assert got[1]["spans"] == got[1]["live_spans"] == "" and got[1]["n_copied"] == 1 and got[1]["counts"] == "github:4:44:1:50"
     assert got[0]["spans"] == "github:48:88" and got[0]["counts"] == "github:4:44:1:50,github:48:88:1:1"
+
+
+def test_email_gate_passes_all_forms(spark):
+    from astraframe.llm.pii import candidates, find_pii
+
+    texts = ["mail anna(at)corp.com and so on", "mail anna [at] corp.com, they said", "mail anna at corp.com"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert all([c["m"] for c in r["c"] if c["k"] == 0] for r in df.select(candidates(df["text"]).alias("c")).collect())
+    with_word = df.selectExpr("doc_id", "concat(text, ' 1 dot') AS text")
+    spans = lambda d: {r["doc_id"]: r["spans"] for r in find_pii(d).collect()}
+    assert spans(df) == spans(with_word)
