@@ -3,7 +3,7 @@
 Each stage takes the documents that its predecessor kept, as written and reread; all but the last
 return the columns of documents. Documents that the rules reject go; repeated lines go from texts
 (n_chars follows); of each group of near copies, at five-word shingles and a similarity of 0.8, the
-least doc_id stays; the mix repeats or leaves out documents by its targets; packing returns the
+one row of the least doc_id (null above all, then the least row number) stays; the mix repeats or leaves out documents by its targets; packing returns the
 pieces of the last stage's rows with their places.
 """
 
@@ -38,8 +38,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    numbered = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, id_col="__row").select("__row", F.col("component_id").alias("__group"))
+    kept = found.join(numbered.select("__row", "doc_id"), "__row").groupBy("__group").agg(F.min(ranked)["__row"].alias("__kept"))
+    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,10 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a + " more"), (None, b), (None, a + " less"), (3, c), (3, b + " more"), (None, "only one here with six words")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, a), (3, c), (3, b + " more"), (None, "only one here with six words")], key=repr)
