@@ -1,15 +1,16 @@
-"""Substring dedup by relative Lempel-Ziv parsing against content-defined reference blocks.
+"""Substring dedup by counts of block and window hashes, which stand in for relative Lempel-Ziv parsing.
 
-The corpus itself is the reference. It is cut into blocks that depend on content alone: each window
+No greedy longest factors into a reference are taken: the reference would be the corpus itself, which no
+task can hold, and what goes is defined by windows that occur twice, which counts tell. It is cut into blocks that depend on content alone: each window
 of ``width`` words belongs to its anchor, the least-hashed ``ANCHOR``-gram in it, and a block is a
 run of windows with one anchor occurrence (up to 28 windows and 62 words). The index holds every
 block of every document under its anchor's hash; equal windows always have equal anchors, so a
-document needs to be parsed only against the blocks indexed under its own anchors.
+document needs to be held only against the blocks indexed under its own anchors.
 
 * A block whose anchor stands nowhere else has no factor.
 * Where an anchor has one block only, however often, a match takes the whole block: it is confirmed
-  by the block's 128-bit hash, and the parse goes on greedily with the next block, so that a long
-  copy is one long factor whose inner windows are never looked at.
+  by the count of the block's 128-bit hash, each block by itself; adjacent ones make one long span
+  whose inner windows are never looked at.
 * Where an anchor has several blocks, a factor begins or ends inside them. Such boundary blocks are
   checked window by window, by 128-bit hashes.
 
