@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled by NumPy at a time; a single longer document is a slice of its own.
 SLICE_BYTES = 512 << 10
+#: Documents handled at a time at most, however short.
+SLICE_ROWS = 2048
 #: Arrow batches sent to Python are closed at this many bytes, so that long texts cannot pile up.
 ARROW_BATCH_BYTES = 4 << 20
 
@@ -21,12 +23,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where unset (tests), a local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or, where unset on one machine (tests), a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="astraframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -81,7 +86,7 @@ def give_back() -> None:
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part has about limit bytes of text, or one document."""
+    """Cut a batch so that each part has about limit bytes of text and SLICE_ROWS documents at most, or one document."""
     i = batch.schema.get_field_index(column)
     text = batch.column(i).cast(pa.string())
     if text.null_count:
@@ -93,13 +98,36 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        stop = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(ends, base + limit, side="right"))))
         yield batch.slice(start, stop - start)
         start = stop
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that are sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for k, c in zip(keys, cols):
+            new[1:] |= c[1:] != c[:-1]
+            new[0] |= bool(held) and held[-1].column(k)[-1].as_py() != c[0]
+        start = 0
+        for at in np.flatnonzero(new).tolist():
+            if at > start:
+                held.append(batch.slice(start, at - start))
+            if held:
+                yield pa.Table.from_batches(held)
+            held, start = [], at
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string array without nulls, and its D + 1 offsets from 0."""
+    """The bytes of a string or binary array without nulls, and its D + 1 offsets from 0."""
     offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     data = text.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)

@@ -3,39 +3,46 @@
 1. A document's set of word shingles gives 128 MinHash samples, 32 band keys of four samples each, a
    512-bit odd sketch of the samples (each flips one bit, so the XOR of two sketches has a bit for
    what the samples don't share) and a 128-bit digest of the set. Equal sets are one vertex.
-2. Vertices that share a band key are tied to the bucket's least vertex; the connected components of
-   these ties are families, supersets of the groups to find.
-3. The full sets of families of two or more are compared, in blocks bounded by vertices and by
-   shingles: XOR population counts discard pairs whose estimate is far below the threshold and order
-   the others; those are confirmed on full sets, unless they are known to be in one component. A
-   family larger than a block is dealt over all pairs of its blocks, so no task holds it whole.
+2. Vertices that share a band key are a bucket. Each member is a candidate with the bucket's two
+   pivots; XOR population counts discard pairs whose estimate is far below the threshold, and the
+   others are confirmed on full sets. A family of near copies becomes a star of few pivots.
+3. Buckets that then still hold two components give their other pairs, those between components,
+   nearest first: sketches are compared in memory, by size of set and in blocks, and candidates are
+   confirmed on full sets, a window of ranks at a time, until none is left.
 4. The confirmed links' components are the result.
 
-At a similarity of 0.8 a pair shares no band with a chance of 5e-8, and an estimate is 0.2 too low
-with one of about 1e-8. Components are found by contraction: each vertex points to that of least
-random priority within two edges, edges are contracted, and what is left goes on; no step gathers a
-component.
+No pair within a component is looked at, and no set is shuffled but for a pair that its sketch lets
+pass. At a similarity of 0.8 a pair shares no band with a chance of 5e-8, and an estimate is 0.2 too
+low with one of about 1e-8. Components are found by contraction: each vertex points to its neighbour
+of least random rank, edges are contracted, and what is left goes on; no step gathers a component.
+Keys of many rows (a bucket, a hub) are only joined with one row a key, which Spark's adaptive skew
+join splits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blooms
-from .common import lean, mix, powers, raw, rolling, small_batches, stash, text_slices, words_of
+from .common import grouped, lean, mix, powers, raw, rolling, small_batches, stash, text_slices, words_of
 
 BANDS, ROWS, ODD_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
-#: Vertices and shingles of one block.
-BLOCK_SETS, BLOCK_SHINGLES = 600, 1_500_000
+#: Vertices of a block whose sketches one task compares with those of another, and pairs of a hub's run.
+BLOCK, RUN = 4096, 4096
+#: Ranks at which the pairs that pivots leave are taken up, nearest first.
+WINDOWS = (0, 4, 64, 1 << 62)
 #: Estimates below the threshold by more than this are discarded; over five standard deviations.
 MARGIN = 0.2
 _SHINGLE = 0x9FB21C651E98DF25
+_WORDS = tuple(f"w{i}" for i in range(ODD_BITS // 64))
+_ODD = f"struct<{', '.join(f'{w}: long' for w in _WORDS)}>"
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**32, SAMPLES, np.uint32)
 _MUL = _rng.integers(0, 2**31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -85,11 +92,12 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(minima: np.ndarray) -> np.ndarray:
-    """The parity of the number of samples in each of ODD_BITS places, packed."""
-    n = len(minima)
-    place = mix(minima.astype(np.uint64) | (np.arange(SAMPLES, dtype=np.uint64)[None, :] << np.uint64(32)), 9) % np.uint64(ODD_BITS)
-    at = (np.arange(n)[:, None] * ODD_BITS + place.astype(np.int64)).ravel()
-    return np.packbits((np.bincount(at, minlength=n * ODD_BITS) & 1).astype(np.uint8).reshape(n, ODD_BITS), axis=1)
+    """The parity of the number of samples in each of ODD_BITS places, as 64-bit words."""
+    out, row = np.zeros((len(minima), ODD_BITS // 64), np.uint64), np.arange(len(minima))
+    for i in range(SAMPLES):  # a sample flips one bit of each row
+        place = mix(minima[:, i].astype(np.uint64) | np.uint64(i << 32), 9) % np.uint64(ODD_BITS)
+        out[row, (place >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (place & np.uint64(63))
+    return out
 
 
 def estimate(odd: np.ndarray) -> np.ndarray:
@@ -97,183 +105,218 @@ def estimate(odd: np.ndarray) -> np.ndarray:
     return 1 + ODD_BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * odd / ODD_BITS))
 
 
+def most_odd(percent: int) -> int:
+    """The most differing bits of two sketches that are not far below the threshold."""
+    return int(np.searchsorted(-estimate(np.arange(ODD_BITS // 2)), MARGIN - percent / 100, side="right")) - 1
+
+
+def differing(a: Column, b: Column) -> Column:
+    """The population count of the XOR of two sketches."""
+    out = F.lit(0)
+    for w in _WORDS:
+        out = out + F.bit_count(a[w].bitwiseXOR(b[w]))
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) to (v, root): the same root for all vertices that edges connect, some vertex of theirs."""
     maps: list[DataFrame] = []
     edges = stash(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    while True:
-        r = len(maps)
-        rank = lambda c: F.struct(F.xxhash64(F.lit(r), c).alias("h"), F.col(c).alias("u"))  # noqa: E731, B023
+    while not edges.isEmpty():
+        rank = lambda c: F.xxhash64(F.lit(len(maps)), c)  # noqa: E731, B023  a bijection of vertices, another one each round
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        near = stash(both.groupBy("v").agg(F.min(rank("u")).alias("to")).select(F.col("v").alias("u"), F.least(rank("v"), "to").alias("to")), "nearest")
-        parent = stash(both.join(near, "u").groupBy("v").agg(F.min("to")["u"].alias("p")), "parents")
+        least = both.groupBy("v").agg(F.min_by("u", rank("u")).alias("u"))
+        parent = stash(least.select("v", F.when(rank("u") < rank("v"), F.col("u")).otherwise(F.col("v")).alias("p")), "parents")
         maps.append(parent)
         left = edges.join(parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(parent.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
         edges = stash(left.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            break
+    if not maps:
+        return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     out = maps[0].withColumnRenamed("p", "root")
     for m in maps[1:]:
         out = out.join(m.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
-    return out
+    return stash(out, "components")
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def roots(self) -> np.ndarray:
-        up = self.up
-        while (up != up[up]).any():
-            up = up[up]
-        self.up = up
-        return up
-
-
-def confirm(odd: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """The components that confirmed links make in a block (side all 0) or between two (side 0 and 1), as pairs of a member and its component's head."""
-    size = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    begin = np.cumsum(size) - size
-    words, own, union = odd.view(np.uint64), np.zeros(len(ids), bool), _Union(len(sets))
-    most = int(np.searchsorted(-estimate(np.arange(ODD_BITS // 2)), MARGIN - percent / 100, side="right"))
-    two = bool(side.any())
-    for x in range(len(sets)):
-        if two and side[x]:
-            continue
-        others = np.flatnonzero(side == 1) if two else np.arange(x)
-        small, big = np.minimum(size[others], size[x]), np.maximum(size[others], size[x])
-        others = others[100 * small >= percent * big]
-        if not len(others):
-            continue
-        off = np.bitwise_count(words[others] ^ words[x]).sum(1, dtype=np.int64)
-        near = off <= most
-        others, off = others[near], off[near]
-        others = others[np.argsort(off, kind="stable")]
-        mine = ids[begin[x] : begin[x] + size[x]]
-        own[mine] = True
-        each = 1
-        while len(others):
-            root = union.roots()
-            others = others[root[others] != root[x]]
-            if not len(others):
-                break
-            by = np.argsort(root[others], kind="stable")  # the nearest few of each component first
-            r = root[others][by]
-            start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            nth = np.arange(len(r)) - np.repeat(start, np.diff([*start, len(r)]))
-            now = np.zeros(len(others), bool)
-            now[by[nth < each]] = True
-            part, others, each = others[now], others[~now], each * 4
-            n = size[part]
-            spread = np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            common = np.add.reduceat(own[ids[spread]].astype(np.int64), np.cumsum(n) - n)
-            for y in part[100 * common >= percent * (n + size[x] - common)]:
-                if union.find(y) != union.find(x):
-                    union.up[union.find(y)] = union.find(x)
-        own[mine] = False
-    root = union.roots()
-    member = np.flatnonzero(root != np.arange(len(sets)))
-    return list(zip(root[member].tolist(), member.tolist()))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row a row: id, n_shingles, component_id, kept.
-
-    Texts are taken in lower case (A-Z), their words are runs of anything but ASCII white space; a
-    text of fewer words than a shingle is one shingle. Rows are linked at 100 * intersection >=
-    percent * union; component_id is the least id that links reach. Null and empty texts have no
-    shingles and are linked with nothing. Null ids count as greater than all others: a component of
-    null ids alone has a null component_id, and its rows are kept. Repeated rows are linked and, as
-    they share their id, kept alike. An empty table gives no rows. Other columns are not read.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+def sketched(source: DataFrame, words: int) -> DataFrame:
+    """(id, text) to (id, n, lo, hi, bands, odd): number of shingles, digest, band keys and sketch of each row's set."""
 
     @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                owner, hashed = shingle_sets(*raw(part.column(1)), words)
+                owner, hashed = shingle_sets(*raw(part.column("text")), words)
                 doc, at, lo, hi = digests(owner, hashed)
                 n = np.bincount(owner, minlength=part.num_rows)
                 full = np.full(part.num_rows, -1)
                 full[doc] = np.arange(len(doc))
                 index = pa.array(full, mask=full < 0)
-                bands = odd = None
-                if len(doc):
-                    minima = samples(hashed, at)
-                    bands = pa.ListArray.from_arrays(np.arange(0, (len(doc) + 1) * BANDS, BANDS, np.int32), pa.array(band_keys(minima).view(np.int64).ravel()))
-                    odd = pa.array([x.tobytes() for x in odd_sketches(minima)], pa.binary())
-                none = lambda kind: pa.nulls(part.num_rows, kind)
-                take = lambda x, kind: pa.array(x, kind).take(index) if len(doc) else none(kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), take(lo, pa.int64()), take(hi, pa.int64()), bands.take(index) if len(doc) else none(pa.list_(pa.int64())), odd.take(index) if len(doc) else none(pa.binary())], names=["id", "n", "lo", "hi", "bands", "odd"])
-
-    sketched = stash(source.mapInArrow(sketch, "id long, n long, lo long, hi long, bands array<long>, odd binary"), "sketches")
-    vertex = stash(sketched.where("n > 0").groupBy("lo", "hi").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("odd").alias("odd")).withColumn("v", F.monotonically_increasing_id()), "vertices")
-    banded = vertex.select("v", F.explode("bands").alias("key"))
-    heads = stash(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("head")).where("n > 1").select("key", "head"), "buckets")
-    family = components(banded.join(heads, "key").select(F.col("head").alias("a"), F.col("v").alias("b")))
-    member = stash(family.join(vertex.select("v", "id", "lo", "hi", "n", "odd"), "v"), "members")
-    blocks = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / block_shingles)).cast("int")
-    member = member.join(stash(member.groupBy("root").agg(blocks.alias("blocks")), "families"), "root").select("root", "blocks", "v", F.col("id").alias("of"), "lo", "hi", "odd")
-    member = stash(member, "wanted")
-    marked = member.select(F.xxhash64("of").alias("mark")).distinct()
-    of_members = spark.sparkContext.broadcast(blooms.build(marked, marked.count()))  # other documents' texts aren't shuffled
-    texts = blooms.matching(source.withColumn("mark", F.xxhash64("id")), "mark", of_members)
-    wanted = texts.join(member, F.col("id").eqNullSafe(F.col("of"))).select("root", "blocks", "v", "lo", "hi", "odd", "text")
+                minima = samples(hashed, at) if len(doc) else np.empty((0, SAMPLES), np.uint32)
+                bands = pa.ListArray.from_arrays(np.arange(0, (len(doc) + 1) * BANDS, BANDS, np.int32), pa.array(band_keys(minima).view(np.int64).ravel()))
+                odd = pa.StructArray.from_arrays([pa.array(w.view(np.int64)) for w in np.ascontiguousarray(odd_sketches(minima).T)], list(_WORDS))
+                found = [pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), bands, odd]
+                found = [x.take(index) for x in found] if len(doc) else [pa.nulls(part.num_rows, x.type) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), *found], names=["id", "n", "lo", "hi", "bands", "odd"])
+
+    return source.select("id", "text").mapInArrow(sketch, f"id long, n long, lo long, hi long, bands array<long>, odd {_ODD}")
+
+
+def pivot_pairs(vertex: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(hub, v, salt): each member of a bucket with the bucket's two pivots, where sizes and sketches allow a link.
+
+    Pivots are the least vertices by two orders that all buckets share, so the members of a family
+    meet few pivots, and rows grow with the members and not with their pairs. salt numbers runs of
+    RUN pairs: a hub of many pairs has many runs.
+    """
+    pairs = members.select("v", F.explode(F.array_distinct(F.array("p", "q"))).alias("hub")).where("hub <> v").distinct()
+    own, of_hub = vertex.select("v", "n", "odd"), vertex.select(F.col("v").alias("hub"), F.col("n").alias("hub_n"), F.col("odd").alias("hub_odd"))
+    alike = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (differing(F.col("odd"), F.col("hub_odd")) <= most_odd(percent))
+    return salted(pairs.join(own, "v").join(of_hub, "hub").where(alike).select("hub", "v"))
+
+
+def salted(pairs: DataFrame) -> DataFrame:
+    return stash(pairs.sortWithinPartitions("hub").withColumn("salt", F.shiftright(F.monotonically_increasing_id(), RUN.bit_length() - 1)), "pairs")
+
+
+def other_pairs(vertex: DataFrame, members: DataFrame, label: DataFrame, percent: int, low: int, high: int, block: int) -> DataFrame:
+    """(hub, v): pairs of one bucket but of two components, the low-th to high-th alike of each vertex; v is null where there are more.
+
+    Buckets of one component are done. The others are split by size of set (a link is within a class
+    of sizes or between neighbours), then dealt over pairs of blocks; sketches are compared in
+    memory. Ranks don't depend on components, so the windows of all calls make all pairs, each once.
+    """
+    base = math.log(max(100 / percent, 1.0001)) * 1.000001
+    named = members.select("key", "v").join(label, "v", "left").select("key", "v", F.coalesce("root", "v").alias("comp"))
+    several = named.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).where("one <> two").select("key")
+    open_ = named.join(several, "key").join(vertex.select("v", "n", "odd"), "v").withColumn("class", F.floor(F.log("n") / base))
+    open_ = open_.withColumn("c", F.explode(F.array("class", F.col("class") + 1))).withColumn("below", F.col("c") != F.col("class")).drop("class")
+    sized = open_.groupBy("key", "c").agg(F.count("*").alias("all"), F.count_if(~F.col("below")).alias("own")).where("`all` > 1 and own > 0")
+    sized = sized.select("key", "c", F.ceil(F.col("all") / block).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int")
+    dealt = open_.join(sized, ["key", "c"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "below", "v", "comp", "n", "odd.*")
+    most, order = most_odd(percent), ["key", "c", "i", "j"]
+
+    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        get = lambda c: t.column(c).to_numpy()
+        v, comp, n, mine, below = get("v"), get("comp"), get("n"), get("mine"), get("below")
+        cross = get("i")[0] != get("j")[0]
+        if len(v) < 2 or (comp == comp[0]).all():
+            return
+        odd = np.stack([get(w) for w in _WORDS], 1).view(np.uint64)
+        hub, leaf, more = [], [], []
+        for x in range(1, len(v)):
+            y = np.flatnonzero(~(below[:x] & below[x]) & (100 * np.minimum(n[:x], n[x]) >= percent * np.maximum(n[:x], n[x])) & (mine[:x] != mine[x] if cross else True))
+            if not len(y) or (comp[y] == comp[x]).all():
+                continue
+            off = np.bitwise_count(odd[y] ^ odd[x]).sum(1, dtype=np.int64)
+            near = off <= most
+            y = y[near][np.argsort(off[near], kind="stable")]
+            if (comp[y[high:]] != comp[x]).any():
+                more.append(v[x])
+            y = y[low:high]
+            y = y[comp[y] != comp[x]]
+            hub.append(np.full(len(y), v[x]))
+            leaf.append(v[y])
+        if hub:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hub)), pa.array(np.concatenate(leaf))], names=["hub", "v"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array(more, pa.int64()), pa.nulls(len(more), pa.int64())], names=["hub", "v"])
+
+    @lean
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, order):
+            yield from found(group)
+
+    return dealt.repartition(*order).sortWithinPartitions(*order, "v").mapInArrow(compare, "hub long, v long")
+
+
+def confirmed(source: DataFrame, vertex: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(hub, v, salt) to the links (a, b) among them, on full sets.
+
+    Sets are made anew of the documents that pairs name (a Bloom filter of ids; digests tell rows of
+    one id apart) and shuffled once a pair; a hub's set goes to each of its runs and is held there
+    while the others stream by.
+    """
+    spark = vertex.sparkSession
+    needs = pairs.select("hub", "salt", "v", F.lit(1).alias("leaf")).unionByName(pairs.select("hub", "salt", F.col("hub").alias("v"), F.lit(0).alias("leaf")).distinct())
+    needs = stash(needs.join(vertex.select("v", "id", "lo", "hi"), "v"), "needs")
+    marked = needs.select(F.xxhash64("id").alias("mark")).distinct()
+    wanted = spark.sparkContext.broadcast(blooms.build(marked, marked.count()))
 
     @lean
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(blooms.pick(batch, "mark", wanted.value)):
                 owner, hashed = shingle_sets(*raw(part.column("text")), words)
                 doc, at, lo, hi = digests(owner, hashed)
-                right = (part.column("lo").to_numpy()[doc] == lo) & (part.column("hi").to_numpy()[doc] == hi)  # not another row with this id
-                ends = np.append(at[1:], len(hashed))
-                sets = pa.array([hashed[a:b].tobytes() for a, b, r in zip(at, ends, right) if r], pa.binary())
-                rows = part.select(["root", "blocks", "v", "odd"]).take(pa.array(doc[right]))
-                yield pa.RecordBatch.from_arrays([*rows.columns, sets], names=["root", "blocks", "v", "odd", "shingles"])
+                keep = [k for k, d in enumerate(zip(lo.tolist(), hi.tolist())) if d not in seen and not seen.add(d)]
+                ends = np.append(at[1:], len(hashed)) if len(at) else at
+                yield pa.RecordBatch.from_arrays([pa.array(lo[keep], pa.int64()), pa.array(hi[keep], pa.int64()), pa.array([hashed[at[k] : ends[k]].tobytes() for k in keep], pa.binary())], names=["lo", "hi", "shingles"])
 
-    sets = wanted.mapInArrow(full_sets, "root long, blocks int, v long, odd binary, shingles binary")
-    own = F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "odd", "shingles").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "v")
+    sets = source.select("text", F.xxhash64("id").alias("mark")).mapInArrow(full_sets, "lo long, hi long, shingles binary")
+    dealt = sets.join(needs, ["lo", "hi"]).select("hub", "salt", "leaf", "v", "shingles").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "leaf", "v")
 
     @lean
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, tuple] = {}
-        current = None
-
-        def links() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
-                v = list(rows)
-                odd = np.frombuffer(b"".join(r[1] for r in rows.values()), np.uint8).reshape(len(v), -1)
-                side = np.array([int(r[0] != current[1]) for r in rows.values()])
-                found = confirm(odd, [np.frombuffer(r[2], np.uint64) for r in rows.values()], side, percent)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([v[x[k]] for x in found]) for k in (0, 1)], names=["a", "b"])
-
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, own = None, np.empty(0, np.uint64)
         for batch in batches:
-            for root, i, j, own, v, odd, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-                if (root, i, j) != current:
-                    yield from links()
-                    rows.clear()
-                    current = (root, i, j)
-                rows[v] = (own, odd, shingles)
-        yield from links()
-
-    label = components(dealt.mapInArrow(verify, "a long, b long"))
+            hub, salt, leaf, v = (batch.column(c).to_numpy() for c in ("hub", "salt", "leaf", "v"))
+            data, offsets = raw(batch.column("shingles"))
+            flat, at = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
+            begins = np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (salt[1:] != salt[:-1])])) if len(hub) else []
+            for a, b in zip(begins, [*begins[1:], len(hub)]):
+                if (hub[a], salt[a]) != current:
+                    current, own = (hub[a], salt[a]), flat[at[a] : at[a + 1]]  # the hub's set comes first
+                rest = a + np.flatnonzero(leaf[a:b] == 1)
+                if not len(rest):
+                    continue
+                first, last = at[rest[0]], at[rest[-1] + 1]
+                place = np.minimum(np.searchsorted(own, flat[first:last]), len(own) - 1)
+                common = np.add.reduceat((own[place] == flat[first:last]).astype(np.int64), at[rest] - first)
+                size = at[rest + 1] - at[rest]
+                hit = v[rest[100 * common >= percent * (size + len(own) - common)]]
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), hub[a])), pa.array(hit)], names=["a", "b"])
+
+    return stash(dealt.mapInArrow(compare, "a long, b long"), "links")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """One row a row: id, n_shingles, component_id, kept.
+
+    Texts are taken in lower case (A-Z), their words are runs of anything but ASCII white space; a
+    text of fewer words than a shingle is one shingle. Rows are linked at 100 * intersection >=
+    percent * union; component_id is the least id that links reach. Null and empty texts have no
+    shingles and are linked with nothing. Null ids count as greater than all others: a component of
+    null ids alone has a null component_id, and its rows are kept. Repeated rows are linked and, as
+    they share their id, kept alike; rows of one id with different texts are judged each. An empty
+    table gives no rows. Other columns are not read.
+    """
+    small_batches(docs.sparkSession)
+    source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = stash(sketched(source, words), "sketches")
+    vertex = rows.where("n > 0").groupBy("lo", "hi").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "bands", "odd")))
+    vertex = stash(vertex.withColumn("v", F.monotonically_increasing_id()), "vertices")
+    banded = vertex.select("v", F.explode("bands").alias("key"))
+    pivots = banded.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("v", F.xxhash64(F.lit(k), "v")).alias(c) for k, c in ((1, "p"), (2, "q")))).where("n > 1")
+    members = stash(banded.join(pivots.select("key", "p", "q"), "key"), "members")
+    tested = pivot_pairs(vertex, members, percent)
+    links = confirmed(source, vertex, tested, words, percent)
+    label = components(links)
+    for low, high in zip(WINDOWS, WINDOWS[1:]):
+        found = stash(other_pairs(vertex, members, label, percent, low, high, block), "others")
+        pairs = found.where("v is not null").distinct().join(tested.select("hub", "v"), ["hub", "v"], "left_anti")
+        pairs = salted(pairs.join(tested.select(F.col("hub").alias("v"), F.col("v").alias("hub")), ["hub", "v"], "left_anti"))
+        if not pairs.isEmpty():
+            links = links.unionByName(confirmed(source, vertex, pairs, words, percent))
+            label = components(links)
+        if found.where("v is null").isEmpty():
+            break
     linked = label.join(vertex.select("v", "id"), "v")
-    least = linked.groupBy("root").agg(F.min("id").alias("least"))
-    named = linked.join(least, "root").select("v", "least")
-    named = stash(vertex.select("v", "lo", "hi", "id").join(named, "v", "left").select("lo", "hi", F.coalesce("least", "id").alias("component")), "components")
-    out = sketched.select("id", "n", "lo", "hi").join(named, ["lo", "hi"], "left")
+    named = linked.join(linked.groupBy("root").agg(F.min("id").alias("least")), "root").select("v", "least")
+    named = stash(vertex.select("v", "lo", "hi", "id").join(named, "v", "left").select("lo", "hi", F.coalesce("least", "id").alias("component")), "named")
+    out = rows.select("id", "n", "lo", "hi").join(named, ["lo", "hi"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

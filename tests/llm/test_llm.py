@@ -274,13 +274,15 @@ def test_near_dedup(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [2000, 7])
-def test_near_dedup_families(spark, block):
-    """Copies with edits around the threshold, in whole families and dealt over pairs of blocks."""
+@pytest.mark.parametrize("block, windows", [(2000, None), (7, None), (7, (0, 1, 2, 1 << 62)), (2000, (0, 1 << 62))])
+def test_near_dedup_families(spark, block, windows, monkeypatch):
+    """Copies with edits around the threshold, in whole buckets and dealt over pairs of blocks, by few and by many ranks at a time."""
     import random
 
     from astraframe.llm.near_dedup import near_duplicates
 
+    if windows:
+        monkeypatch.setattr("astraframe.llm.near_dedup.WINDOWS", windows)
     r = random.Random(block)
     table = []
     for f in range(3):
@@ -291,7 +293,54 @@ def test_near_dedup_families(spark, block):
                 w[r.randrange(len(w))] = f"edit{r.randint(0, 999)}"
             table.append((len(table), " ".join(w)))
     df = spark.createDataFrame(table, "doc_id long, text string")
-    assert rows(near_duplicates(df, words=4, block_sets=block)) == brute_near(table)
+    assert rows(near_duplicates(df, words=4, block=block)) == brute_near(table)
+
+
+def test_near_dedup_of_a_large_family_is_linear(spark, monkeypatch):
+    """Pairs that are made, and so sets that are shuffled, grow with a family's rows and not with its pairs."""
+    import random
+
+    from astraframe.llm import near_dedup as nd
+
+    made = []
+    monkeypatch.setattr(nd, "salted", lambda pairs, f=nd.salted: made.append(f(pairs)) or made[-1])
+    r, rows_of = random.Random(1), {}
+    for size in (500, 2000):
+        base = lorem(150, 77).split(" ")
+        table = []
+        for i in range(size):
+            w = list(base)
+            for _ in range(2):
+                w[r.randrange(len(w))] = f"edit{r.randint(0, 9999)}"
+            table.append((i, " ".join(w)))
+        made.clear()
+        out = nd.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), words=4)
+        assert out.where("component_id = 0").count() == size
+        rows_of[size] = sum(p.count() for p in made)
+    assert rows_of[2000] <= 5 * rows_of[500] and rows_of[2000] <= 20 * 2000
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    """Many rows without an id, and one id with many texts, some of which are copies of others."""
+    from astraframe.llm.near_dedup import near_duplicates
+
+    texts = [lorem(40, 900 + i % 30) + (" more" if i % 3 else "") for i in range(150)]
+    table = [(None if i % 3 else 7, t) for i, t in enumerate(texts)] + [(3, texts[0]), (9, "short one")]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    assert rows(near_duplicates(df, words=4)) == brute_near(table)
+
+
+def test_near_dedup_of_a_very_long_text(spark):
+    """Texts beyond a slice, and beyond the bytes that are hashed with one table of powers."""
+    from astraframe.llm.near_dedup import near_duplicates
+
+    long = lorem(200_000, 3)
+    words_ = (long + " ") * 5
+    assert len(words_) > 1 << 22
+    table = [(1, words_), (2, words_ + "one more"), (3, long), (4, lorem(1000, 4))]
+    got = {r["doc_id"]: r for r in near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), words=4).collect()}
+    assert [got[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
+    assert got[1]["n_shingles"] == len(shingles(words_, 4))
 
 
 def test_odd_sketch_estimate():
@@ -305,7 +354,7 @@ def test_odd_sketch_estimate():
         m = nd.samples(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, 1000]))
         odd = nd.odd_sketches(m)
         j = overlap / (2000 - overlap)
-        assert abs(nd.estimate(np.unpackbits(odd[0] ^ odd[1]).sum()) - j) < 0.12
+        assert abs(nd.estimate(np.bitwise_count(odd[0] ^ odd[1]).sum(dtype=int)) - j) < 0.12
 
 
 def test_components(spark):
