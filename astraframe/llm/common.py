@@ -48,10 +48,17 @@ def drop_stashed(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and reread it: lineage ends there and survives lost executors."""
+#: Rows that a file of a table has where their number is known.
+STASH_ROWS = 1 << 18
+
+
+def stash(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and reread it: lineage ends there and survives lost executors.
+
+    rows: what df has at most, where that is known; it sets how many files there are.
+    """
     path = f"{session_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // STASH_ROWS + 1)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

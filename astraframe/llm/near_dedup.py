@@ -37,7 +37,7 @@ SAMPLES = BANDS * ROWS
 #: Vertices of a block whose sketches one task compares with those of another, and pairs of a hub's run.
 BLOCK, RUN = 4096, 4096
 #: Ranks at which the pairs that pivots leave are taken up, nearest first.
-WINDOWS = (0, 4, 64, 1 << 62)
+WINDOWS = (0, 8, 1 << 62)
 #: Estimates below the threshold by more than this are discarded; over five standard deviations.
 MARGIN = 0.2
 _SHINGLE = 0x9FB21C651E98DF25
@@ -119,17 +119,20 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) to (v, root): the same root for all vertices that edges connect, some vertex of theirs."""
+    """(a, b) to (v, root): the same root for all vertices that edges connect, some vertex of theirs.
+
+    Each round's tables have no more rows than its edges have ends, so small ones are small files.
+    """
     maps: list[DataFrame] = []
-    edges = stash(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    while not edges.isEmpty():
+    edges = stash(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    while n := edges.count():
         rank = lambda c: F.xxhash64(F.lit(len(maps)), c)  # noqa: E731, B023  a bijection of vertices, another one each round
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
         least = both.groupBy("v").agg(F.min_by("u", rank("u")).alias("u"))
-        parent = stash(least.select("v", F.when(rank("u") < rank("v"), F.col("u")).otherwise(F.col("v")).alias("p")), "parents")
+        parent = stash(least.select("v", F.when(rank("u") < rank("v"), F.col("u")).otherwise(F.col("v")).alias("p")), "parents", 2 * n)
         maps.append(parent)
         left = edges.join(parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(parent.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-        edges = stash(left.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        edges = stash(left.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges", n)
     if not maps:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     out = maps[0].withColumnRenamed("p", "root")
@@ -138,6 +141,15 @@ def components(edges: DataFrame) -> DataFrame:
     return stash(out, "components")
 
 
+def joined_components(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label, (v, root), after links (a, b) between its components and other vertices."""
+    for c in ("a", "b"):
+        links = links.join(label.select(F.col("v").alias(c), F.col("root").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    merged = components(links)
+    moved = label.join(merged.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
+    return stash(moved.unionByName(merged.join(label, "v", "left_anti")), "labels")
+
+
 def sketched(source: DataFrame, words: int) -> DataFrame:
     """(id, text) to (id, n, lo, hi, bands, odd): number of shingles, digest, band keys and sketch of each row's set."""
 
@@ -241,8 +253,7 @@ def confirmed(source: DataFrame, vertex: DataFrame, pairs: DataFrame, words: int
     spark = vertex.sparkSession
     needs = pairs.select("hub", "salt", "v", F.lit(1).alias("leaf")).unionByName(pairs.select("hub", "salt", F.col("hub").alias("v"), F.lit(0).alias("leaf")).distinct())
     needs = stash(needs.join(vertex.select("v", "id", "lo", "hi"), "v"), "needs")
-    marked = needs.select(F.xxhash64("id").alias("mark")).distinct()
-    wanted = spark.sparkContext.broadcast(blooms.build(marked, marked.count()))
+    wanted = spark.sparkContext.broadcast(blooms.build(needs.select(F.xxhash64("id").alias("mark")).distinct(), needs.count()))
 
     @lean
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,15 +314,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = banded.groupBy("key").agg(F.count("*").alias("n"), *(F.min_by("v", F.xxhash64(F.lit(k), "v")).alias(c) for k, c in ((1, "p"), (2, "q")))).where("n > 1")
     members = stash(banded.join(pivots.select("key", "p", "q"), "key"), "members")
     tested = pivot_pairs(vertex, members, percent)
-    links = confirmed(source, vertex, tested, words, percent)
-    label = components(links)
+    label = components(confirmed(source, vertex, tested, words, percent))
+    ends = (F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"))
     for low, high in zip(WINDOWS, WINDOWS[1:]):
         found = stash(other_pairs(vertex, members, label, percent, low, high, block), "others")
-        pairs = found.where("v is not null").distinct().join(tested.select("hub", "v"), ["hub", "v"], "left_anti")
-        pairs = salted(pairs.join(tested.select(F.col("hub").alias("v"), F.col("v").alias("hub")), ["hub", "v"], "left_anti"))
-        if not pairs.isEmpty():
-            links = links.unionByName(confirmed(source, vertex, pairs, words, percent))
-            label = components(links)
+        pairs = found.where("v is not null").select(*ends).distinct().join(tested.select(*ends), ["a", "b"], "left_anti")
+        pairs = salted(pairs.select(F.col("a").alias("hub"), F.col("b").alias("v")))
+        if pairs.count() and not (links := confirmed(source, vertex, pairs, words, percent)).isEmpty():
+            label = joined_components(label, links)
         if found.where("v is null").isEmpty():
             break
     linked = label.join(vertex.select("v", "id"), "v")
