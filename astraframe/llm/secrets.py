@@ -6,9 +6,10 @@ repositories and distinct owners: a value that many owners hold, or that is in m
 of each, is a copied example, one that a single owner holds in few looks live. Base spans always stay; a generator's span is added where its value
 is owner-specific and looks random.
 
-Only candidates' hashes are shuffled, in three partial aggregations (by value, owner and repository;
-by value and owner; by value), so an example that a third of all documents copy is combined before
-each shuffle.
+Only candidates' hashes are shuffled. Counts are of distinct values, owners and repositories, which
+combine before each shuffle; verdicts go back to the occurrences of the most frequent values, of which
+there are HOT at most, by broadcast, and to all others by a join. So an example that a third of all
+documents copy is in no one's task.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,8 @@ from .common import lean, small_batches, stash, text_slices
 MAX_OWNERS = 2
 #: So is one in more repositories an owner than this.
 MAX_REPOS = 8
+#: The most frequent values are broadcast, so many at most: those with more occurrences than a HOT-th of all, and than COLD.
+HOT, COLD = 1 << 16, 1 << 12
 #: Bits a character from which a generator's value looks random.
 MIN_ENTROPY = 3.0
 KINDS = ("assign", "access", "hex", "github", "slack", "jwt", "key", "base64")
@@ -65,12 +70,15 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
 
 def more_spans(text: str, base: list[tuple[int, str, int, str]]) -> list[tuple[int, str, int, str]]:
     """What the generators propose that looks random and that neither a base span nor an earlier generator's covers."""
-    out = []
+    out: list[tuple[int, str, int, str]] = []
     for kind, pattern in GENERATORS.items():
         if _HINTS[kind] not in text or kind == "base64" and not _LONG.search(text):
             continue
+        known = sorted((s, e) for s, _, e, _ in (*base, *out))
+        starts, reach = [s for s, _ in known], list(accumulate((e for _, e in known), max))
         for m in pattern.finditer(text):
-            if not any(s <= m.start() and m.end() <= e for s, _, e, _ in (*base, *out)) and entropy(m[0]) >= MIN_ENTROPY:
+            k = bisect_right(starts, m.start())
+            if not (k and reach[k - 1] >= m.end()) and entropy(m[0]) >= MIN_ENTROPY:
                 out.append((m.start(), kind, m.end(), m[0]))
     return out
 
@@ -114,12 +122,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = "id long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start: long, kind: string, end: long, value: binary, added: boolean>>"
     scanned = stash(source.mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()), "scanned")
     each = scanned.where(F.size("found") > 0).select("row", "owner", "repo", F.inline("found"))
-    by_repo = each.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
-    by_owner = by_repo.groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    owned = stash(by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")), "owned")
+    held = each.select("value", "owner", "repo").distinct()
+    held_by = lambda c: held.select("value", c).distinct().groupBy("value").agg(F.count("*").alias(f"{c}s"))
+    often = each.groupBy("value").agg(F.count("*").alias("n"))
+    owned = stash(often.join(held_by("owner"), "value").join(held_by("repo"), "value"), "owned")
+    total = owned.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(COLD, total // HOT)
+    widely = F.broadcast(owned.where(hot))  # HOT values at most
+    found = each.join(widely, "value").unionByName(each.join(widely.select("value"), "value", "left_anti").join(owned.where(~hot), "value"))
     live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos * F.col("owners"))
     span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("nr"), F.concat_ws(":", "kind", "start", "end").alias("span"), (live | ~F.col("added")).alias("shown"), live.alias("live"), F.concat_ws(":", "kind", "start", "end", "owners", "repos").alias("counted"))
-    judged = each.join(owned, "value").groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(span)).alias("judged"))
+    judged = found.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(span)).alias("judged"))
     out = scanned.join(judged, F.col("row") == F.col("of"), "left")
     of = lambda pick: F.filter(F.coalesce("judged", F.expr("array()").cast(judged.schema["judged"].dataType)), pick)
     said = lambda pick, name="span": F.array_join(F.transform(of(pick), lambda x: x[name]), ",")

@@ -501,6 +501,34 @@ def test_secrets_of_a_hot_source(spark):
     assert got[0]["spans"] == "github:48:88" and got[0]["counts"] == "github:4:44:1:50,github:48:88:1:1"
 
 
+def test_secret_counts_against_brute_force(spark, monkeypatch):
+    """Owners, repositories, live and copied spans of random texts: hot values, null owners, repositories under two owners."""
+    import random
+
+    from astraframe.llm import secrets
+
+    r = random.Random(6)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = ["ghp_" + "".join(r.choice(chars) for _ in range(36)) for _ in range(25)]
+    weight = [100, 40, *[2] * 23]
+    table = [(i, " and ".join(r.choices(values, weight, k=r.randint(0, 4))), r.choice(("a", "b", "c", "d", None)), r.choice((None, *(f"r{k}" for k in range(40))))) for i in range(300)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string, repo string")
+    monkeypatch.setattr(secrets, "COLD", 30)
+    owners, repos = collections.defaultdict(set), collections.defaultdict(set)
+    spans = {i: [(m.start(), m.end(), m[0]) for m in re.finditer("ghp_[A-Za-z0-9]{36,}", text)] for i, text, *_ in table}
+    for i, _, source, repo in table:
+        for *_, v in spans[i]:
+            owners[v].add(source)
+            repos[v].add(repo)
+    live = {v for v in owners if len(owners[v]) <= 2 and len(repos[v]) <= 3 * len(owners[v])}
+    assert live and len(live) < len(owners)
+    for row in secrets.scan_secrets(df, repo_col="repo", max_repos=3).collect():
+        own = spans[row["doc_id"]]
+        assert row["counts"] == ",".join(f"github:{a}:{b}:{len(owners[v])}:{len(repos[v])}" for a, b, v in own)
+        assert row["spans"] == row["live_spans"] == ",".join(f"github:{a}:{b}" for a, b, v in own if v in live)
+        assert (row["n_live"], row["n_copied"]) == (sum(v in live for *_, v in own), sum(v not in live for *_, v in own))
+
+
 def test_email_gate_passes_all_forms(spark):
     from astraframe.llm.pii import candidates, find_pii
 
