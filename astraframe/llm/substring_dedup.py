@@ -1,24 +1,26 @@
-"""Substring dedup by counts of block and window hashes, which stand in for relative Lempel-Ziv parsing.
-
-No greedy longest factors into a reference are taken: the reference would be the corpus itself, which no
-task can hold, and what goes is defined by windows that occur twice, which counts tell. It is cut into blocks that depend on content alone: each window
-of ``width`` words belongs to its anchor, the least-hashed ``ANCHOR``-gram in it, and a block is a
-run of windows with one anchor occurrence (up to 28 windows and 62 words). The index holds every
-block of every document under its anchor's hash; equal windows always have equal anchors, so a
-document needs to be held only against the blocks indexed under its own anchors.
-
-* A block whose anchor stands nowhere else has no factor.
-* Where an anchor has one block only, however often, a match takes the whole block: it is confirmed
-  by the count of the block's 128-bit hash, each block by itself; adjacent ones make one long span
-  whose inner windows are never looked at.
-* Where an anchor has several blocks, a factor begins or ends inside them. Such boundary blocks are
-  checked window by window, by 128-bit hashes.
-
-Factors of at least ``width`` words, the union of those matches, are the duplicate spans. Two sets
-are broadcast to the parsing tasks as Bloom filters, of anchors seen twice and of anchors with
-several blocks; they only spare work, and beyond ``filter_keys`` anchors the same knowledge reaches
-the tasks by a join instead. Counts of hashes are combined before they are shuffled, so a passage
-that a third of all documents hold is a few rows.
+"""Substring dedup by relative Lempel-Ziv parsing.
+
+The reference is the corpus itself, cut into blocks that depend on content alone: each window of
+``width`` words belongs to its anchor, the least-hashed ``ANCHOR``-gram in it, and a block is a run
+of windows with one anchor occurrence (up to 28 windows and 62 words). Equal windows always have
+equal anchors, so a document needs to be held only against the blocks indexed under its own anchors.
+
+1. The index tells of each anchor whether it stands elsewhere, and whether under one block or several.
+   A document's blocks whose anchors do not are no one's copy. Where an anchor has several blocks,
+   factors begin or end inside of them: such boundary blocks enter the index window by window.
+2. Each block or window that stands at two positions or more is a reference, by the 128-bit hash of
+   its words; the index keeps two positions of it, so that one is not the text's own.
+3. A document is parsed greedily, left to right: at its first indexed position the longest factor
+   begins, of those that start at the indexed reference positions; it goes on over blocks and windows
+   as long as the next one stands in the reference where the last one ends. The next factor begins at
+   the first window that is not inside, so it reaches back over the boundary by width - 1 words.
+
+Factors, "first:end:document:position", have at least ``width`` words, and their union is what goes:
+each repeated window is in a factor, and each factor's windows are repeated. Two sets are broadcast
+to the parsing tasks as Bloom filters, of anchors seen twice and of anchors with several blocks; they
+only spare work, and beyond ``filter_keys`` anchors the same knowledge reaches the tasks by a join
+instead. Positions are combined before they are shuffled, so a passage that a third of all documents
+hold is a few rows of the index.
 """
 
 from __future__ import annotations
@@ -85,15 +87,33 @@ def _blocks(part: pa.RecordBatch, width: int) -> Blocks:
     return Blocks(h, doc, width)
 
 
+def parse_factors(first: list[int], count: list[int], refs: list[list[tuple[int | None, int]]], width: int) -> list[tuple[int, int, int | None, int]]:
+    """The greedy parse of a document's indexed units, in order of first: (first word, end, reference document, its first word)."""
+    out, k = [], 0
+    while k < len(first):
+        best = None
+        for doc, at in refs[k]:
+            shift, last = (doc, at - first[k]), k
+            while last + 1 < len(first) and first[last + 1] == first[last] + count[last] and any((d, p - first[last + 1]) == shift for d, p in refs[last + 1]):
+                last += 1
+            if best is None or last > best[0]:
+                best = last, doc, at
+        last, doc, at = best
+        out.append((first[k], first[last] + count[last] + width - 1, doc, at))
+        k = last + 1
+    return out
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, filter_keys: int = FILTER_KEYS, texts: bool = False) -> DataFrame:
     """id, n_words, n_removed, kept_sha256, factors of every row; with texts also the kept words.
 
     Words are runs of anything but ASCII white space. A word goes if a window of width words that
     covers it has the same words as a window that starts anywhere else, in any row, this one
-    included; kept words are joined by one space. factors lists the maximal duplicate spans as
-    "first:end" in words. Null and empty texts have no words; texts of fewer than width words stay;
+    included; kept words are joined by one space. factors lists the parse's factors as
+    "first:end:document:position", in words; those that meet overlap by width - 1 words. Null and empty texts have no words; texts of fewer than width words stay;
     repeated rows are copies of each other, so both go; null ids are kept apart by text; an empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. The document of a factor is an id, null where it
+    has none.
     """
     if width <= ANCHOR:
         raise ValueError(f"width must exceed {ANCHOR}")
@@ -159,33 +179,43 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     parsed = stash(to_parse.mapInArrow(units, "id long, mark long, lo long, hi long, first long, count int"), "units")
     repeated = stash(parsed.groupBy("lo", "hi").agg(F.count("*").alias("n")).where("n > 1").select("lo", "hi"), "repeated")
-    spans = stash(parsed.join(repeated, ["lo", "hi"]).groupBy(F.col("id").alias("of"), F.col("mark").alias("of_mark")).agg(F.collect_list(F.struct("first", "count")).alias("spans")), "spans")
+    found = stash(parsed.join(repeated, ["lo", "hi"]), "found")
+    ends = [f(c, *by).alias(f"{n}_{c}") for n, f, by in (("low", F.min_by, ("mark",)), ("high", F.max_by, ("mark",))) for c in ("id", "first")]
+    ends += [f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("mark", "id", "first")]
+    index_of = found.groupBy("lo", "hi").agg(*ends)
+    alike = F.col("min_mark") == F.col("max_mark")  # one text, or copies of it: any of its ids with any of its positions
+    pairs = [F.struct(F.when(alike, F.col(f"{m}_id")).otherwise(F.col(f"{n}_id")).alias("doc"), F.when(alike, F.col(f"{m}_first")).otherwise(F.col(f"{n}_first")).alias("at")) for m, n in (("min", "low"), ("max", "high"))]
+    index_of = index_of.select("lo", "hi", pairs[0].alias("one"), pairs[1].alias("two"))
+    unit = F.struct("first", "count", F.col("one.doc").alias("doc1"), F.col("one.at").alias("at1"), F.col("two.doc").alias("doc2"), F.col("two.at").alias("at2"))
+    spans = stash(found.join(index_of, ["lo", "hi"]).groupBy(F.col("id").alias("of"), F.col("mark").alias("of_mark")).agg(F.array_sort(F.collect_set(unit)).alias("units")), "spans")
+    unit_names = ["first", "count", "doc1", "at1", "doc2", "at2"]
     cut = spark.sparkContext.broadcast(blooms.build(spans.select("of_mark"), spans.count()))  # only documents with spans meet them in a shuffle
-    joined = blooms.matching(source, "mark", cut).join(spans, (F.col("mark") == F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", F.col("spans.first").alias("first"), F.col("spans.count").alias("count"))
+    joined = blooms.matching(source, "mark", cut).join(spans, (F.col("mark") == F.col("of_mark")) & F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", *(F.col(f"units.{c}").alias(c) for c in unit_names))
 
     @lean
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = blooms.pick(batch, "mark", cut.value, inside=False)
             none = pa.nulls(own.num_rows, pa.list_(pa.int64()))
-            yield from rewrite(pa.RecordBatch.from_arrays([own.column("id"), own.column("text"), none, none], names=["id", "text", "first", "count"]))
+            yield from rewrite(pa.RecordBatch.from_arrays([own.column("id"), own.column("text"), *[none] * len(unit_names)], names=["id", "text", *unit_names]))
 
     def rewrite(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batch):
             n, gone, digest, factors, kept = [], [], [], [], []
-            for text, first, count in zip(part.column("text").cast(pa.binary()).to_pylist(), *(part.column(c).to_pylist() for c in ("first", "count"))):
+            for i, text, first, count, *refs in zip(part.column("id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), *(part.column(c).to_pylist() for c in unit_names)):
                 words = text.split()
                 n.append(len(words))
-                ends = []
+                parsed_ = []
                 if first:
+                    known = [[x for x in ((d1, p1), (d2, p2)) if x != (i, f)] or [(i, f)] for f, d1, p1, d2, p2 in zip(first, *refs)]
+                    parsed_ = parse_factors(first, count, known, width)
                     cover = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(cover, first, 1)
-                    np.add.at(cover, np.add(first, count) + width - 1, -1)
+                    np.add.at(cover, [x[0] for x in parsed_], 1)
+                    np.add.at(cover, [x[1] for x in parsed_], -1)
                     covered = np.cumsum(cover)[:-1] > 0
-                    ends = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
                     words = [w for w, c in zip(words, covered.tolist()) if not c]
                 gone.append(n[-1] - len(words))
-                factors.append(",".join(f"{a}:{b}" for a, b in zip(ends[::2], ends[1::2])))
+                factors.append(",".join(f"{a}:{b}:{'null' if d is None else d}:{p}" for a, b, d, p in parsed_))
                 whole = b" ".join(words)
                 digest.append(hashlib.sha256(whole).hexdigest())
                 if texts:

@@ -205,6 +205,22 @@ def brute_substrings(texts, width=35):
     return out
 
 
+def assert_factors(table, out, width=35):
+    """Factors have width words at least, stand at their references, and as far as these go on there."""
+    texts = collections.defaultdict(list)
+    for i, w in table:
+        texts[i].append(w)
+    longer = total = 0
+    for row in out.collect():
+        for f in filter(None, row["factors"].split(",")):
+            a, b, doc, p = (None if x == "null" else int(x) for x in f.split(":"))
+            own = next(w for w in texts[row["doc_id"]] if len(w) == row["n_words"])
+            assert b - a >= width and any(w[p : p + b - a] == own[a:b] for w in texts[doc])
+            assert (doc, p) != (row["doc_id"], a) or len(texts[doc]) > 1
+            longer, total = longer + (b - a > width), total + 1
+    assert not total or longer
+
+
 @pytest.mark.parametrize("keys", [1 << 20, 0])
 def test_substring_dedup(docs, empty, keys):
     from astraframe.llm.substring_dedup import dedup_substrings
@@ -213,7 +229,8 @@ def test_substring_dedup(docs, empty, keys):
     want = sorted(((r[0], *b) for r, b in zip(ROWS, brute_substrings([words(r[1]) for r in ROWS]))), key=repr)
     assert rows(out.select("doc_id", "n_words", "n_removed", "kept_sha256")) == want
     assert all(sha(r["text"]) == r["kept_sha256"] for r in out.collect())
-    assert next(r for r in out.collect() if r["doc_id"] == 9)["factors"] == "50:110"
+    assert next(r for r in out.collect() if r["doc_id"] == 9)["factors"] == "50:110:10:0"
+    assert_factors([(r[0], words(r[1])) for r in ROWS], out)
     assert dedup_substrings(empty, filter_keys=keys).count() == 0
 
 
@@ -236,10 +253,24 @@ def test_substring_dedup_random(spark, seed):
             w += p[a : a + r.choice((20, 34, 35, 36, 60, 120))] if r.random() < 0.7 else r.choices(stock, k=r.randint(1, 60))
         texts.append(w + ["x"] * r.choice((0, 0, 34, 35, 36, 90)))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    got = rows(dedup_substrings(df).select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    out = dedup_substrings(df)
+    assert_factors(list(enumerate(texts)), out)
+    got = rows(out.select("doc_id", "n_words", "n_removed", "kept_sha256"))
     assert got == sorted(((i, *b) for i, b in enumerate(brute_substrings(texts))), key=repr)
 
 
+def test_substring_dedup_of_a_very_long_text(spark):
+    from astraframe.llm.substring_dedup import dedup_substrings
+
+    long = lorem(120_000, 3)
+    texts = [long + " " + lorem(200, 9), "before " + long[: len(long) // 2], lorem(40, 10), long * 8]
+    assert len(texts[3]) > 1 << 22
+    got = {r["doc_id"]: r for r in dedup_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    n = [len(words(t)) for t in texts]
+    assert [got[i]["n_words"] for i in range(4)] == n and [got[i]["n_removed"] for i in (0, 2, 3)] == [120_000, 0, n[3]]
+    assert n[1] - 2 <= got[1]["n_removed"] <= n[1] - 1 and got[0]["factors"].count(",") <= 20
+
+
 def shingles(text, n):
     w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
