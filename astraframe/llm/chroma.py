@@ -25,7 +25,8 @@ from .common import lean, mix, rolling, small_batches, stash
 
 #: Samples a second, a frame, and from frame to frame.
 RATE, FRAME, HOP = 8000, 256, 32
-LOWEST, HIGHEST = 80.0, 3600.0
+#: Bins are 31 Hz apart, which tells semitones apart from A4 on; lower ones would fall into their neighbours' classes.
+LOWEST, HIGHEST = 427.0, 3600.0
 SMOOTH = (1, 3, 4, 3, 1)
 SPAN = 16
 #: Codes of which a frame is the first need so many further frames.

@@ -26,6 +26,15 @@ def test_pitch_classes():
     assert not chroma.frames(np.full(1000, 7, np.uint8), np.array([0, 100])).any()
 
 
+def test_pitch_classes_of_every_octave_that_is_folded():
+    t = np.arange(4000) / chroma.RATE
+    for semitone in range(37):
+        f = 440 * 2 ** (semitone / 12)
+        assert chroma.LOWEST < f < chroma.HIGHEST
+        wave = (127 + 100 * np.sin(2 * np.pi * f * t)).astype(np.uint8)
+        assert np.bincount(chroma.frames(wave, np.arange(0, 3000, 32)).argmax(1), minlength=12).argmax() == semitone % 12
+
+
 def brute_codes(samples):
     """The filters as plain sums over frames."""
     n = (len(samples) - chroma.FRAME) // chroma.HOP + 1
