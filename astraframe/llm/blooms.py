@@ -60,22 +60,26 @@ def gather(rows: DataFrame, bits: int, seen_twice: bool) -> np.ndarray:
 
     @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+        at, once, twice = None, np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)  # of one segment at a time
+
+        def out() -> Iterator[pa.RecordBatch]:
+            x = twice if seen_twice else once
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(np.packbits(x, bitorder="little").tobytes(), 1)], pa.binary())], names=["segment", "bits"])
+
         for b in batches:
             for s, o, t in zip(*(c.to_pylist() for c in b.columns)):
-                if s not in once:
-                    once[s], twice[s] = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
+                if s != at:
+                    yield from out()
+                    at, once[:], twice[:] = s, False, False
                 o, t = (np.frombuffer(zlib.decompress(x), "<u2") for x in (o, t))
-                twice[s][o[once[s][o]]] = True
-                twice[s][t] = True
-                once[s][o] = True
-        for s, x in (twice if seen_twice else once).items():
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([zlib.compress(np.packbits(x, bitorder="little").tobytes(), 1)], pa.binary())], names=["segment", "bits"])
+                twice[o[once[o]]] = True
+                twice[t] = True
+                once[o] = True
+        yield from out()
 
     out = np.zeros(bits // 8, np.uint8)
-    for s, packed in rows.repartition("segment").mapInArrow(merge, "segment long, bits binary").collect():  # bits / 8 bytes at most
+    for s, packed in rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment long, bits binary").collect():  # bits / 8 bytes at most
         out[s * SEGMENT // 8 : (s + 1) * SEGMENT // 8] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return out
 

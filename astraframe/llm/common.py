@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,25 @@ def session_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/astraframe/{spark.sparkContext.applicationId}"
 
 
-def drop_stashed(spark: SparkSession) -> None:
-    """Remove this session's intermediate tables, when no DataFrame made from them is in use any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+def drop_stashed(spark: SparkSession, folder: str | None = None) -> None:
+    """Remove a scope's intermediate tables, or all of this session's, when no DataFrame made from them is in use any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder or session_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_scopes: list[str] = []
+
+
+@contextmanager
+def stash_scope(spark: SparkSession) -> Iterator[str]:
+    """A folder of their own for the tables stashed inside, to be dropped with drop_stashed when what is made of them is written."""
+    _scopes.append(f"{session_folder(spark)}/scope-{uuid.uuid4().hex}")
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
 #: Rows that a file of a table has where their number is known.
 STASH_ROWS = 1 << 18
 
@@ -57,7 +71,7 @@ def stash(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
     rows: what df has at most, where that is known; it sets how many files there are.
     """
-    path = f"{session_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
+    path = f"{_scopes[-1] if _scopes else session_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     (df if rows is None else df.coalesce(rows // STASH_ROWS + 1)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

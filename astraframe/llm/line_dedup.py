@@ -100,6 +100,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.array(own, np.int64)[hit])), pa.array([hashlib.sha256(found[k]).digest() for k in hit], pa.binary())], names=["id", "key"])
 
     pairs = stash(source.select("id", "text").mapInArrow(suspects, "id long, key binary"), "suspects")
+    twice.unpersist()
     repeated = stash(pairs.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"), "repeated")
     lost = F.col("keeper").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("keeper")))
     drops = pairs.join(repeated, "key").where(lost).groupBy("id").agg(F.collect_set("key").alias("drop")).withColumnRenamed("id", "of")

@@ -291,7 +291,9 @@ def confirmed(source: DataFrame, vertex: DataFrame, pairs: DataFrame, words: int
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), hub[a])), pa.array(hit)], names=["a", "b"])
 
-    return stash(dealt.mapInArrow(compare, "a long, b long"), "links")
+    links = stash(dealt.mapInArrow(compare, "a long, b long"), "links")
+    wanted.unpersist()
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:

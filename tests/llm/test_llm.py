@@ -93,6 +93,110 @@ def test_stash(spark):
     assert stash(kept.where("false"), "none").count() == 0
 
 
+def test_stashes_of_a_scope_are_dropped(spark):
+    import os
+
+    from astraframe.llm.common import drop_stashed, stash, stash_scope
+
+    outer = stash(spark.range(3), "outer")
+    with stash_scope(spark) as folder:
+        inner = stash(spark.range(4), "inner", 4)
+    assert inner.count() == 4 and os.path.isdir(folder.removeprefix("file://"))
+    drop_stashed(spark, folder)
+    assert not os.path.exists(folder.removeprefix("file://")) and outer.count() == 3
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace as Some
+
+    from astraframe.llm.common import scratch_root
+
+    none = Some(getCheckpointDir=lambda: Some(isDefined=lambda: False))
+    cluster = Some(conf=Some(get=lambda *a: None), sparkContext=Some(master="spark://host:7077", _jsc=Some(sc=lambda: none)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(cluster)
+
+
+def test_bloom_segments_merge_one_at_a_time(spark):
+    """Rows of many tasks and segments, against counts."""
+    import numpy as np
+    from astraframe.llm import blooms
+
+    r = np.random.default_rng(2)
+    h = r.integers(0, 2**63, 3000).astype(np.uint64)
+    h = np.concatenate([h, h[:500]])
+    bits = 1 << 19
+    rows_ = [x for part in np.array_split(r.permutation(h), 6) for x in blooms.fold(part, bits)]
+    df = spark.createDataFrame([(s, bytearray(a), bytearray(b)) for s, a, b in rows_], blooms.FOLDED)
+    for twice in (False, True):
+        seen = collections.Counter()
+        for x in h.tolist():
+            seen.update({x & (bits - 1), (x >> 32) & (bits - 1)})
+        want = np.zeros(bits, bool)
+        want[[p for p, n in seen.items() if n > twice]] = True
+        assert (np.unpackbits(blooms.gather(df, bits, twice), bitorder="little").astype(bool) == want).all()
+
+
+def brute_em(patterns, rounds):
+    """Expectation-maximisation with a row a document and plain loops."""
+    import math
+
+    from astraframe.llm.quality import RULES
+
+    docs = [[code // 3 ** (len(RULES) - 1 - k) % 3 for k in range(len(RULES))] for code, n in sorted(patterns.items()) for _ in range(n)]
+    rate = [[[0.4, 0.4, 0.2] for _ in RULES], [[0.2, 0.4, 0.4] for _ in RULES]]
+    prior, good = 0.8, []
+    for _ in range(rounds):
+        good = []
+        for votes in docs:
+            bad_, good_ = ((math.log(p) + sum(math.log(rate[k][i][v]) for i, v in enumerate(votes))) for k, p in ((0, 1 - prior), (1, prior)))
+            good.append(1 / (1 + math.exp(bad_ - good_)))
+        for k in (0, 1):
+            for i in range(len(RULES)):
+                seen = [1.0, 1.0, 1.0]
+                for votes, g in zip(docs, good):
+                    seen[votes[i]] += g if k else 1 - g
+                rate[k][i] = [x / sum(seen) for x in seen]
+        for i in range(len(RULES)):
+            if rate[1][i][0] > rate[0][i][0] or rate[1][i][2] < rate[0][i][2]:
+                rate[0][i] = rate[1][i] = [(x + y) / 2 for x, y in zip(rate[0][i], rate[1][i])]
+        prior = min(0.99, max(0.5, sum(good) / max(1.0, len(docs))))
+    return {c: g for c, g in zip((c for c, n in sorted(patterns.items()) for _ in range(n)), good)}
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 7])
+def test_em_against_a_plain_version(rounds):
+    import random
+
+    from astraframe.llm.quality import RULES, fit
+
+    r = random.Random(rounds)
+    patterns = collections.Counter()
+    for _ in range(200):
+        good = r.random() < 0.7
+        patterns[sum(r.choices((0, 1, 2), (1, 2, 6) if good else (5, 2, 2))[0] * 3**k for k in range(len(RULES)))] += 1
+    assert fit(dict(patterns), rounds) == pytest.approx(brute_em(patterns, rounds), abs=1e-9)
+
+
+def test_many_rows_without_an_id(spark):
+    """Null ids as a hot key, and texts beyond a slice, in line dedup, rules and packing."""
+    from astraframe.llm.line_dedup import dedup_lines
+    from astraframe.llm.packing import pack
+    from astraframe.llm.quality import judge
+
+    long = (lorem(120_000, 5) + "\n") * 8
+    assert len(long) > 1 << 22
+    table = [(None, f"{LINE}\nown {i}") for i in range(200)] + [(1, f"{LINE}\nlast"), (2, long), (2, "other text of one id")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    got = collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in dedup_lines(df).collect())
+    assert got == {(None, 2, 1): 200, (1, 2, 0): 1, (2, 9, 0): 1, (2, 1, 0): 1}
+    n = {(r["doc_id"], r["n_words"]): r["n_dup_lines"] for r in judge(df).collect()}
+    assert n[2, 960_000] == 7 and n[1, 8] == 0
+    pieces = pack(df, queries.tokenizer_path()).collect()
+    own = sorted((r["start"], r["length"]) for r in pieces if r["doc_id"] == 2 and not (r["piece"] == 0 and r["length"] < 20))
+    assert len(own) > 100 and all(n == 2048 for _, n in own[1:]) and sum(r["length"] for r in pieces if r["doc_id"] is None) >= 200 * 10
+
+
 def test_blooms():
     import numpy as np
     from astraframe.llm import blooms
