@@ -3,8 +3,14 @@
 Each stage takes the documents that its predecessor kept, as written and reread; all but the last
 return the columns of documents. Documents that the rules reject go; repeated lines go from texts
 (n_chars follows); of each group of near copies, at five-word shingles and a similarity of 0.8, the
-one row of the least doc_id (null above all, then the least row number) stays; the mix repeats or leaves out documents by its targets; packing returns the
-pieces of the last stage's rows with their places.
+one row of the least doc_id (null above all, then the least row number) stays; the mix repeats or
+leaves out documents by its targets; packing returns the pieces of the last stage's rows with their
+places.
+
+Null and empty texts fail the rules, and stages that still meet them keep them as they are; null
+ids are kept apart by row; repeated rows count each until near-dedup, which leaves one of them; ties
+go to the least row number, and rows alike are interchangeable; empty tables give empty tables.
+Further columns come through unchanged, but none may be called __doc or __row.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astraframe.llm.common import stash
+from astraframe.llm.common import drop_stashed, stash, stash_scope
 from astraframe.llm.line_dedup import dedup_lines
 from astraframe.llm.mixing import apply_mix
 from astraframe.llm.near_dedup import near_duplicates
@@ -60,10 +66,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and reread but for the last."""
-    docs = documents(spark, sf_dir)
+    """All stages over documents, each written to the shared folder and reread but for the last.
+
+    What a stage stashed, and the table that it read, go when its output is written.
+    """
+    docs, read = documents(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stash(docs, f"stage{k}")
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with stash_scope(spark) as own:
+            out = stage(spark, docs, sf_dir)
+        with stash_scope(spark) as written:
+            docs = stash(out, f"stage{k}")
+        drop_stashed(spark, own)
+        if read:
+            drop_stashed(spark, read)
+        read = written
     return docs
