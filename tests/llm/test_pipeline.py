@@ -88,3 +88,21 @@ def test_near_dedup_keeps_one_row_of_a_group(spark):
     rows = [(1, a), (1, a), (2, a + " more"), (None, b), (None, a + " less"), (3, c), (3, b + " more"), (None, "only one here with six words")]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, a), (3, c), (3, b + " more"), (None, "only one here with six words")], key=repr)
+
+
+def test_stages_on_nulls_repeats_and_further_columns(spark):
+    """Each stage on null ids, texts and sources, repeated rows, and columns named as the operators' own."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    line = "A line that stands in many of these documents."
+    rows = [(1, a, "s", 1), (1, a, "s", 1), (None, a + " more", None, 2), (None, f"{line}\n{b}", "t", 3), (2, f"{line}\nc", "t", 4), (3, f"{line}\nd", None, 5), (4, None, "s", 6), (5, "", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").selectExpr("*", "'k' AS kept", "1 AS n", "2 AS v", "3 AS rest", "4 AS id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
+    lines = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.line_dedup(spark, docs, SF).collect())
+    assert lines == {(1, a): 2, (None, a + " more"): 1, (None, b): 1, (2, "c"): 1, (3, f"{line}\nd"): 1, (4, ""): 1, (5, ""): 1}
+    near = collections.Counter((r["doc_id"], r["size"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert near == {(1, 1): 1, (None, 3): 1, (2, 4): 1, (3, 5): 1, (4, 6): 1, (5, 7): 1}
+    mixed = corpus_pipeline.mixing(spark, docs, SF).collect()
+    assert sum(len(words(r["text"])) for r in mixed) == sum(len(words(t)) for _, t, *_ in rows)
+    packed = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert collections.Counter(r["doc_id"] for r in packed) == {1: 2, None: 2, 2: 1, 3: 1, 4: 1, 5: 1}
