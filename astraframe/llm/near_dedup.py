@@ -6,13 +6,16 @@
 2. Vertices that share a band key are a bucket. Each member is a candidate with the bucket's two
    pivots; XOR population counts discard pairs whose estimate is far below the threshold, and the
    others are confirmed on full sets. A family of near copies becomes a star of few pivots.
-3. Buckets that then still hold two components give their other pairs, those between components,
-   nearest first: sketches are compared in memory, by size of set and in blocks, and candidates are
-   confirmed on full sets, a window of ranks at a time, until none is left.
-4. The confirmed links' components are the result.
-
-No pair within a component is looked at, and no set is shuffled but for a pair that its sketch lets
-pass. At a similarity of 0.8 a pair shares no band with a chance of 5e-8, and an estimate is 0.2 too
+3. Buckets that then still hold two components give their other pairs, those between components:
+   sketches are compared in memory, by size of set and in blocks, and each vertex's NEAREST
+   candidates are confirmed on full sets. Vertices with further ones are only tied to each other.
+4. Ties' components that still are not of one component of links are rare, and are compared as a
+   whole: sets are dealt over pairs of blocks, and pairs are confirmed, nearest first, if their
+   sketches allow it and no link connects them already. So many texts that are alike, but less than
+   the threshold, cost a copy of each set a block and not one a pair.
+5. The confirmed links' components are the result.
+
+No pair within a component is confirmed. At a similarity of 0.8 a pair shares no band with a chance of 5e-8, and an estimate is 0.2 too
 low with one of about 1e-8. Components are found by contraction: each vertex points to its neighbour
 of least random rank, edges are contracted, and what is left goes on; no step gathers a component.
 Keys of many rows (a bucket, a hub) are only joined with one row a key, which Spark's adaptive skew
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +40,10 @@ BANDS, ROWS, ODD_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
 #: Vertices of a block whose sketches one task compares with those of another, and pairs of a hub's run.
 BLOCK, RUN = 4096, 4096
-#: Ranks at which the pairs that pivots leave are taken up, nearest first.
-WINDOWS = (0, 8, 1 << 62)
+#: Pairs of each vertex that are confirmed one by one, of those that pivots leave.
+NEAREST = 8
+#: Sets and shingles of a block of what then is left.
+BLOCK_SETS, BLOCK_SHINGLES = 400, 400_000
 #: Estimates below the threshold by more than this are discarded; over five standard deviations.
 MARGIN = 0.2
 _SHINGLE = 0x9FB21C651E98DF25
@@ -190,12 +196,12 @@ def salted(pairs: DataFrame) -> DataFrame:
     return stash(pairs.sortWithinPartitions("hub").withColumn("salt", F.shiftright(F.monotonically_increasing_id(), RUN.bit_length() - 1)), "pairs")
 
 
-def other_pairs(vertex: DataFrame, members: DataFrame, label: DataFrame, percent: int, low: int, high: int, block: int) -> DataFrame:
-    """(hub, v): pairs of one bucket but of two components, the low-th to high-th alike of each vertex; v is null where there are more.
+def other_pairs(vertex: DataFrame, members: DataFrame, label: DataFrame, percent: int, nearest: int, block: int) -> DataFrame:
+    """(hub, v, tie): pairs of one bucket but of two components, the nearest alike of each vertex; and ties of vertices that have more.
 
     Buckets of one component are done. The others are split by size of set (a link is within a class
     of sizes or between neighbours), then dealt over pairs of blocks; sketches are compared in
-    memory. Ranks don't depend on components, so the windows of all calls make all pairs, each once.
+    memory. Ties are stars, so rows grow with the members and not with their pairs.
     """
     base = math.log(max(100 / percent, 1.0001)) * 1.000001
     named = members.select("key", "v").join(label, "v", "left").select("key", "v", F.coalesce("root", "v").alias("comp"))
@@ -216,57 +222,63 @@ def other_pairs(vertex: DataFrame, members: DataFrame, label: DataFrame, percent
         if len(v) < 2 or (comp == comp[0]).all():
             return
         odd = np.stack([get(w) for w in _WORDS], 1).view(np.uint64)
-        hub, leaf, more = [], [], []
+        hub, leaf, tied = [], [], np.arange(len(v))
         for x in range(1, len(v)):
             y = np.flatnonzero(~(below[:x] & below[x]) & (100 * np.minimum(n[:x], n[x]) >= percent * np.maximum(n[:x], n[x])) & (mine[:x] != mine[x] if cross else True))
-            if not len(y) or (comp[y] == comp[x]).all():
+            y = y[comp[y] != comp[x]]
+            if not len(y):
                 continue
             off = np.bitwise_count(odd[y] ^ odd[x]).sum(1, dtype=np.int64)
             near = off <= most
             y = y[near][np.argsort(off[near], kind="stable")]
-            if (comp[y[high:]] != comp[x]).any():
-                more.append(v[x])
-            y = y[low:high]
-            y = y[comp[y] != comp[x]]
-            hub.append(np.full(len(y), v[x]))
-            leaf.append(v[y])
+            hub.append(np.full(len(y[:nearest]), v[x]))
+            leaf.append(v[y[:nearest]])
+            if len(y) > nearest:
+                tied[np.isin(tied, tied[y[nearest:]])] = tied[x]
         if hub:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hub)), pa.array(np.concatenate(leaf))], names=["hub", "v"])
-        if more:
-            yield pa.RecordBatch.from_arrays([pa.array(more, pa.int64()), pa.nulls(len(more), pa.int64())], names=["hub", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hub)), pa.array(np.concatenate(leaf)), pa.array(np.zeros(sum(map(len, hub)), bool))], names=["hub", "v", "tie"])
+        more = np.flatnonzero(tied != np.arange(len(v)))
+        if len(more):
+            yield pa.RecordBatch.from_arrays([pa.array(v[tied[more]]), pa.array(v[more]), pa.array(np.ones(len(more), bool))], names=["hub", "v", "tie"])
 
     @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, order):
             yield from found(group)
 
-    return dealt.repartition(*order).sortWithinPartitions(*order, "v").mapInArrow(compare, "hub long, v long")
+    return dealt.repartition(*order).sortWithinPartitions(*order, "v").mapInArrow(compare, "hub long, v long, tie boolean")
 
 
-def confirmed(source: DataFrame, vertex: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(hub, v, salt) to the links (a, b) among them, on full sets.
+def full_sets(source: DataFrame, needs: DataFrame, words: int) -> tuple[DataFrame, Broadcast]:
+    """(lo, hi, shingles) of the sets of needs (id, lo, hi), and some others: made anew of the documents that a Bloom filter of ids lets pass.
 
-    Sets are made anew of the documents that pairs name (a Bloom filter of ids; digests tell rows of
-    one id apart) and shuffled once a pair; a hub's set goes to each of its runs and is held there
-    while the others stream by.
+    Digests tell rows of one id apart; a task makes each set once. The filter is no longer needed once the rows are written.
     """
-    spark = vertex.sparkSession
-    needs = pairs.select("hub", "salt", "v", F.lit(1).alias("leaf")).unionByName(pairs.select("hub", "salt", F.col("hub").alias("v"), F.lit(0).alias("leaf")).distinct())
-    needs = stash(needs.join(vertex.select("v", "id", "lo", "hi"), "v"), "needs")
+    spark = needs.sparkSession
     wanted = spark.sparkContext.broadcast(blooms.build(needs.select(F.xxhash64("id").alias("mark")).distinct(), needs.count()))
 
     @lean
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in text_slices(blooms.pick(batch, "mark", wanted.value)):
                 owner, hashed = shingle_sets(*raw(part.column("text")), words)
-                doc, at, lo, hi = digests(owner, hashed)
+                _, at, lo, hi = digests(owner, hashed)
                 keep = [k for k, d in enumerate(zip(lo.tolist(), hi.tolist())) if d not in seen and not seen.add(d)]
                 ends = np.append(at[1:], len(hashed)) if len(at) else at
                 yield pa.RecordBatch.from_arrays([pa.array(lo[keep], pa.int64()), pa.array(hi[keep], pa.int64()), pa.array([hashed[at[k] : ends[k]].tobytes() for k in keep], pa.binary())], names=["lo", "hi", "shingles"])
 
-    sets = source.select("text", F.xxhash64("id").alias("mark")).mapInArrow(full_sets, "lo long, hi long, shingles binary")
+    return source.select("text", F.xxhash64("id").alias("mark")).mapInArrow(make, "lo long, hi long, shingles binary"), wanted
+
+
+def confirmed(source: DataFrame, vertex: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(hub, v, salt) to the links (a, b) among them, on full sets, which are shuffled once a pair.
+
+    A hub's set goes to each of its runs and is held there while the others stream by.
+    """
+    needs = pairs.select("hub", "salt", "v", F.lit(1).alias("leaf")).unionByName(pairs.select("hub", "salt", F.col("hub").alias("v"), F.lit(0).alias("leaf")).distinct())
+    needs = stash(needs.join(vertex.select("v", "id", "lo", "hi"), "v"), "needs")
+    sets, wanted = full_sets(source, needs, words)
     dealt = sets.join(needs, ["lo", "hi"]).select("hub", "salt", "leaf", "v", "shingles").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "leaf", "v")
 
     @lean
@@ -296,7 +308,62 @@ def confirmed(source: DataFrame, vertex: DataFrame, pairs: DataFrame, words: int
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def block_links(odd: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that connect the components of a block's sets, or, with side, those of two blocks' sets."""
+    size, most = np.array([len(s) for s in sets]), most_odd(percent)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    begin, own, comp, out = np.cumsum(size) - size, np.zeros(size.sum(), bool), comp.copy(), []
+    for x in range(1, len(sets)):
+        y = np.flatnonzero((comp[:x] != comp[x]) & (100 * np.minimum(size[:x], size[x]) >= percent * np.maximum(size[:x], size[x])) & (True if side is None else side[:x] != side[x]))
+        off = np.bitwise_count(odd[y] ^ odd[x]).sum(1, dtype=np.int64)
+        y = y[off <= most][np.argsort(off[off <= most], kind="stable")]
+        mine, step = ids[begin[x] : begin[x] + size[x]], 4
+        own[mine] = True
+        while len(y):
+            part, y = y[:step], y[step:]
+            n = size[part]
+            spread = np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.add.reduceat(own[ids[spread]].astype(np.int64), np.cumsum(n) - n)
+            for z in part[100 * common >= percent * (n + size[x] - common)].tolist():
+                if comp[z] != comp[x]:
+                    out.append((x, z))
+                    comp[comp == comp[z]] = comp[x]
+            y, step = y[comp[y] != comp[x]], min(256, step * 2)
+        own[mine] = False
+    return out
+
+
+def rest_links(source: DataFrame, vertex: DataFrame, ties: DataFrame, label: DataFrame, words: int, percent: int, block_sets: int) -> DataFrame:
+    """The links (a, b) between components in what ties (a, b) connect."""
+    tied = components(ties).join(label.select("v", F.col("root").alias("to")), "v", "left").select("root", "v", F.coalesce("to", "v").alias("comp"))
+    tied = tied.join(vertex.select("v", "id", "lo", "hi", "n", "odd"), "v")
+    blocks = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    open_ = tied.groupBy("root").agg(F.min("comp").alias("one"), F.max("comp").alias("two"), blocks).where("one <> two").select("root", "blocks")
+    needs = stash(tied.join(open_, "root"), "needs")
+    sets, wanted = full_sets(source, needs, words)
+    mine = F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int")
+    dealt = sets.join(needs, ["lo", "hi"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    order = ["root", "i", "j"]
+    dealt = dealt.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "comp", "odd.*", "shingles").repartition(*order).sortWithinPartitions(*order, "v")
+
+    @lean
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, order):
+            v = t.column("v").to_numpy()
+            at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))  # a set that several tasks made comes several times
+            t, v = t.take(at), v[at]
+            odd = np.stack([t.column(w).to_numpy() for w in _WORDS], 1).view(np.uint64)
+            side = t.column("mine").to_numpy() if t.column("i")[0] != t.column("j")[0] else None
+            found = block_links(odd, [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()], t.column("comp").to_numpy(), side, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([v[x[k]] for x in found]) for k in (0, 1)], names=["a", "b"])
+
+    links = stash(dealt.mapInArrow(compare, "a long, b long"), "links")
+    wanted.unpersist()
+    return links
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, nearest: int = NEAREST, block: int = BLOCK, block_sets: int = BLOCK_SETS) -> DataFrame:
     """One row a row: id, n_shingles, component_id, kept.
 
     Texts are taken in lower case (A-Z), their words are runs of anything but ASCII white space; a
@@ -318,14 +385,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = pivot_pairs(vertex, members, percent)
     label = components(confirmed(source, vertex, tested, words, percent))
     ends = (F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"))
-    for low, high in zip(WINDOWS, WINDOWS[1:]):
-        found = stash(other_pairs(vertex, members, label, percent, low, high, block), "others")
-        pairs = found.where("v is not null").select(*ends).distinct().join(tested.select(*ends), ["a", "b"], "left_anti")
-        pairs = salted(pairs.select(F.col("a").alias("hub"), F.col("b").alias("v")))
-        if pairs.count() and not (links := confirmed(source, vertex, pairs, words, percent)).isEmpty():
-            label = joined_components(label, links)
-        if found.where("v is null").isEmpty():
-            break
+    others = stash(other_pairs(vertex, members, label, percent, nearest, block), "others")
+    pairs = others.where("not tie").select(*ends).distinct().join(tested.select(*ends), ["a", "b"], "left_anti")
+    pairs = salted(pairs.select(F.col("a").alias("hub"), F.col("b").alias("v")))
+    if pairs.count() and not (links := confirmed(source, vertex, pairs, words, percent)).isEmpty():
+        label = joined_components(label, links)
+    ties = others.where("tie").select(*ends)
+    if not ties.isEmpty() and not (links := rest_links(source, vertex, ties, label, words, percent, block_sets)).isEmpty():
+        label = joined_components(label, links)
     linked = label.join(vertex.select("v", "id"), "v")
     named = linked.join(linked.groupBy("root").agg(F.min("id").alias("least")), "root").select("v", "least")
     named = stash(vertex.select("v", "lo", "hi", "id").join(named, "v", "left").select("lo", "hi", F.coalesce("least", "id").alias("component")), "named")

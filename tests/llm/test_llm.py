@@ -409,15 +409,13 @@ def test_near_dedup(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("block, windows", [(2000, None), (7, None), (7, (0, 1, 2, 1 << 62)), (2000, (0, 1 << 62))])
-def test_near_dedup_families(spark, block, windows, monkeypatch):
-    """Copies with edits around the threshold, in whole buckets and dealt over pairs of blocks, by few and by many ranks at a time."""
+@pytest.mark.parametrize("block, nearest, block_sets", [(2000, 8, 400), (7, 1, 5), (2000, 0, 400), (7, 0, 9)])
+def test_near_dedup_families(spark, block, nearest, block_sets):
+    """Copies with edits around the threshold, in whole buckets and dealt over pairs of blocks, pair by pair and as families."""
     import random
 
     from astraframe.llm.near_dedup import near_duplicates
 
-    if windows:
-        monkeypatch.setattr("astraframe.llm.near_dedup.WINDOWS", windows)
     r = random.Random(block)
     table = []
     for f in range(3):
@@ -428,7 +426,7 @@ def test_near_dedup_families(spark, block, windows, monkeypatch):
                 w[r.randrange(len(w))] = f"edit{r.randint(0, 999)}"
             table.append((len(table), " ".join(w)))
     df = spark.createDataFrame(table, "doc_id long, text string")
-    assert rows(near_duplicates(df, words=4, block=block)) == brute_near(table)
+    assert rows(near_duplicates(df, words=4, nearest=nearest, block=block, block_sets=block_sets)) == brute_near(table)
 
 
 def test_near_dedup_of_a_large_family_is_linear(spark, monkeypatch):
