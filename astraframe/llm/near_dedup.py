@@ -40,8 +40,8 @@ BANDS, ROWS, ODD_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
 #: Vertices of a block whose sketches one task compares with those of another, and pairs of a hub's run.
 BLOCK, RUN = 4096, 4096
-#: Pairs of each vertex that are confirmed one by one, of those that pivots leave.
-NEAREST = 8
+#: Pairs of each vertex in a bucket that are confirmed one by one, of those that pivots leave.
+NEAREST = 1
 #: Sets and shingles of a block of what then is left.
 BLOCK_SETS, BLOCK_SHINGLES = 400, 400_000
 #: Estimates below the threshold by more than this are discarded; over five standard deviations.
