@@ -17,16 +17,20 @@ PLACES = {
     "GRBG": ((1, 0), (0, 0), (1, 1), (0, 1)),
     "GBRG": ((0, 1), (0, 0), (1, 1), (1, 0)),
 }
-NO_PATTERN = "Can not perform superpixel demosaic on a non rgb image"
+NO_PATTERN = "superpixels need a Bayer pattern; the image has none that is known, and none was given"
 
 
 def read_image(spark: SparkSession, path: str, plane: int | None = None, layout: str = "pixels", schema: T.StructType | str | None = None, **options: object) -> DataFrame:
-    """Samples (plane, y, x, raw) with their image's constants, or rows of samples; a plane that isn't there is empty."""
+    """Samples (plane, y, x, raw) with their image's constants, or rows of samples.
+
+    Of a plane only its own bytes are read; one that isn't there is empty.
+    """
+    if plane is not None:
+        options = options | {"plane": plane}
     r = register(spark).read.format("starfile").option("relation", "image").option("layout", layout)
     for k, v in options.items():
         r = r.option(k, str(v).lower() if isinstance(v, bool) else str(v))
-    df = (r.schema(schema) if schema is not None else r).load(path)
-    return df if plane is None else df.where(F.col("plane") == plane)
+    return (r.schema(schema) if schema is not None else r).load(path)
 
 
 def bitpix_of(df: DataFrame) -> int:
@@ -100,7 +104,12 @@ def superpixel_pairs(df: DataFrame, bitpix: int | None = None, pattern: str | No
 
 
 def rgb(df: DataFrame, bitpix: int | None = None, pattern: str | None = None, bayer: bool | None = None, mode: str = "standard") -> DataFrame:
-    """(plane, y, x, r, g, b) as bytes: superpixels where there is a Bayer pattern, else grey."""
+    """(plane, y, x, r, g, b) as bytes: superpixels where there is a Bayer pattern, else grey.
+
+    Pairs of rows, as layout="pairs" reads them, give superpixels without a shuffle.
+    """
+    if "even" in df.columns:
+        return superpixel_pairs(df, bitpix, pattern, mode).select("plane", "y", "x", *(I.byte_channel(F.col(c)).alias(c) for c in "rgb"))
     if bayer is None:
         first = None if pattern else df.select("bayer_pattern").first()
         bayer = bool(pattern) or bool(first and first[0])

@@ -16,9 +16,12 @@ from ..sources.storage import file_system, list_files, open_file
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where it is unset, a local folder of this session."""
+    """spark.checkpoint.dir, or, where it is unset on one machine, a local folder of this session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="astraframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/astraframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"

@@ -209,21 +209,29 @@ def _supplier_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit(0).alias("hdu_index"), "s_suppkey", F.posexplode(cards).alias("card_index", "card"))
 
 
-@query("""SELECT s_suppkey, 'SIMPLE' AS keyword, 'logical' AS kind, 'T' AS value, 'standard' AS comment FROM supplier
-  UNION ALL SELECT s_suppkey, 'NAXIS1', 'integer', CAST(s_suppkey AS VARCHAR), NULL FROM supplier
-  UNION ALL SELECT s_suppkey, 'OBJECT', 'string', s_name || '''s', 'a/b' FROM supplier
-  UNION ALL SELECT s_suppkey, 'OBJECT', 'string', 'second', NULL FROM supplier
-  UNION ALL SELECT s_suppkey, 'COMMENT', 'comment', '', 'nothing of note' FROM supplier""")
+def _all_cards(rows: list[tuple[str, str, str, str]]) -> str:
+    return "\n  UNION ALL ".join(f"SELECT s_suppkey, '{k}' AS keyword, '{kind}' AS kind, {value} AS value, {said} AS comment FROM supplier" for k, kind, value, said in rows)
+
+
+_NUMBER = "CAST(CAST({} AS DOUBLE) AS VARCHAR)"
+
+
+@query(_all_cards([
+    ("SIMPLE", "logical", "'T'", "'standard'"), ("BITPIX", "integer", "'-32'", "NULL"), ("NAXIS", "integer", "'2'", "NULL"), ("NAXIS1", "integer", "CAST(s_suppkey AS VARCHAR)", "NULL"), ("NAXIS2", "integer", "'7'", "NULL"),
+    ("OBJECT", "string", "s_name || '''s'", "'a/b'"), ("EXPTIME", "float", _NUMBER.format("s_nationkey * 10 + 5"), "'seconds'"), ("BZERO", "integer", "'32768'", "NULL"), ("GAIN", "float", _NUMBER.format("s_acctbal"), "NULL"),
+    ("DATE-OBS", "string", "'2024-01-02T03:04:05'", "NULL"), ("IMAGETYP", "string", "'masterdark'", "NULL"), ("BAYERPAT", "string", "'grbg'", "NULL"), ("YORGSUBF", "integer", "'7'", "NULL"),
+    ("COMMENT", "comment", "''", "'nothing of note'"), ("OBJECT", "string", "'second'", "NULL"), ("END", "end", "''", "NULL"),
+]))
 def header_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = headers.parse(_supplier_cards(spark, sf_dir)).where(F.col("keyword").isin("SIMPLE", "NAXIS1", "OBJECT", "COMMENT"))
+    parsed = headers.parse(_supplier_cards(spark, sf_dir))
     c = F.struct("string", "bool", "int", "float", "re", "im")
     return parsed.select("s_suppkey", "keyword", "kind", H.as_text(c).alias("value"), "comment")
 
 
-@query("SELECT s_suppkey, s_name AS object, CAST(NULL AS VARCHAR) AS comment FROM supplier")
+@query("SELECT s_suppkey, s_name AS object, CAST(NULL AS VARCHAR) AS comment FROM supplier UNION ALL SELECT s_suppkey, 'second', NULL FROM supplier")
 def header_cards_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = headers.parse(_supplier_cards(spark, sf_dir), "reference")
-    return headers.raw_card(parsed, "OBJECT").where("string <> 'second'").select("s_suppkey", F.col("string").alias("object"), "comment")
+    return headers.raw_card(parsed, "OBJECT").select("s_suppkey", F.col("string").alias("object"), "comment")
 
 
 @query("""SELECT s_suppkey, s_name || '''s' AS object, CAST(-32 AS BIGINT) AS bitpix, CAST(s_suppkey AS BIGINT) AS width, CAST((s_nationkey + 0.5) * 10 AS DOUBLE) AS exposure_seconds, CAST(32768 AS DOUBLE) AS bzero,
@@ -359,7 +367,7 @@ def _byte(x: str) -> str:
     max(CASE WHEN x % 2 = 1 AND y % 2 = 1 THEN v END) AS b FROM v WHERE y < (SELECT (max(y) + 1) // 2 * 2 FROM v) GROUP BY y // 2, x // 2)
   SELECT y, x, {_byte('r')} AS r, {_byte('g')} AS g, {_byte('b')} AS b FROM c""")
 def image_rgb_bayer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = images.rgb(images.read_image(spark, _image(spark, sf_dir, "i16", bayer="RGGB")), 16)
+    out = images.rgb(images.read_image(spark, _image(spark, sf_dir, "i16", bayer="RGGB"), layout="pairs"), 16)
     return out.select("y", "x", *(F.col(c).cast("long").alias(c) for c in "rgb"))
 
 

@@ -6,7 +6,7 @@ default the first unit of the relation's kind), ``mode`` (standard, reference),
 broken data are an error; DROPMALFORMED: a file gives what it has up to the break; FAILFAST: all of
 these are errors), ``scaling`` and ``nulls`` (apply TSCAL and TZERO, TNULL), ``arrays`` (a list even for one
 value a cell), ``meta`` (adds _path, _hdu, _row), ``layout`` of images (pixels, rows,
-pairs of rows), ``partitionBytes``, ``recursive``, ``pushdown``.
+pairs of rows), ``plane`` (the only one that is read), ``partitionBytes``, ``recursive``, ``pushdown``.
 
 Planning lists files and reads the headers of the first one, for the schema; every task reads the
 headers of its own files. Files are cut into ranges of rows by size, and small files share a task.
@@ -63,6 +63,7 @@ class Settings:
     meta: bool = False
     layout: str = "pixels"
     partition_bytes: int = PARTITION_BYTES
+    plane: int | None = None
 
     @staticmethod
     def of(options) -> Settings:
@@ -72,7 +73,7 @@ class Settings:
         for name, value, known in (("relation", relation, ("hdus", "cards", "table", "image", "ascii")), ("mode", mode, MODES), ("parse", parse, ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")), ("layout", layout, ("pixels", "rows", "pairs"))):
             if value not in known:
                 raise ValueError(f"option {name}: {value!r} is none of {', '.join(known)}")
-        return Settings(relation, options.get("hdu"), mode, parse == "FAILFAST", parse == "DROPMALFORMED", yes("scaling"), yes("nulls"), yes("arrays"), yes("meta"), layout, int(get("partitionBytes", PARTITION_BYTES)))
+        return Settings(relation, options.get("hdu"), mode, parse == "FAILFAST", parse == "DROPMALFORMED", yes("scaling"), yes("nulls"), yes("arrays"), yes("meta"), layout, int(get("partitionBytes", PARTITION_BYTES)), int(options["plane"]) if options.get("plane") is not None else None)
 
     @property
     def kinds(self) -> tuple[str, ...]:
@@ -174,7 +175,10 @@ def data_batches(path: str, file, part: int, parts: int, schema: T.StructType, s
         for f in schema.fields:
             if f.name.lower() not in fields and f.name not in ("_path", "_hdu", "_row"):
                 raise FormatError(f"{path}: unit {u.index} has no column {f.name}")
-    first, stop = total * part // parts, total * (part + 1) // parts
+    base, many = 0, total
+    if s.relation == "image" and s.plane is not None:  # a plane is a range of rows, the only one that is read
+        base, many = s.plane * high, high if 0 <= s.plane < planes else 0
+    first, stop = base + many * part // parts, base + many * (part + 1) // parts
     if span:
         first, stop = max(first, span[0]), min(stop, span[1])
     arrow = to_arrow_schema(schema)

@@ -19,6 +19,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..layout import BITPIX, CARD, padded
 from .storage import file_system
@@ -83,7 +84,7 @@ def encode_column(col: pa.ChunkedArray, kind: T.DataType) -> tuple[str, np.ndarr
         if letter in (None, "A") or len(flat) and (nulls or pc.min(pc.list_value_length(flat)).as_py() != each):
             raise ValueError("an array column needs numbers, and as many in each row")
         form, cells, _ = encode_column(pa.chunked_array([flat.flatten()]), kind.elementType)
-        return f"{each}{letter}", cells.reshape(len(flat), -1), nulls
+        return f"{each}{letter}", cells.reshape(len(flat), each * cells.shape[1]), nulls
     name = kind.simpleString()
     if name in ("timestamp", "timestamp_ntz"):
         col, name = col.cast(pa.timestamp("us", getattr(col.type, "tz", None))).cast(pa.int64()), "bigint"
@@ -99,10 +100,10 @@ def encode_column(col: pa.ChunkedArray, kind: T.DataType) -> tuple[str, np.ndarr
         cells = np.where(np.arange(width)[None, :] < size[:, None], cells, 32).astype(np.uint8)
         return f"{width}A", cells, nulls
     if letter == "L":
-        x = np.array([{True: 84, False: 70, None: 0}[v] for v in col.to_pylist()], np.uint8)
+        x = pc.fill_null(pc.if_else(col, pa.scalar(84, pa.uint8()), pa.scalar(70, pa.uint8())), 0).to_numpy()
     else:
         x = pc.fill_null(col, float("nan") if letter in "ED" else 0).to_numpy().astype(_NUMPY[letter])
-    return f"1{letter}", np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), nulls
+    return f"1{letter}", np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize), nulls
 
 
 def table_bytes(table: pa.Table, schema: T.StructType, extname: str | None, more: list[bytes]) -> Iterator[bytes]:
@@ -197,13 +198,22 @@ class Writer(DataSourceArrowWriter):
         return Written(name, table.num_rows)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """New files come before old ones go, so a failure between loses neither; a table without rows is one file."""
         fs, inner = file_system(self.path)
         fs.create_dir(inner, recursive=True)
+        names = [m.name for m in messages if m is not None and m.name]
+        if not names and self.options.get("kind", "table") == "table":
+            fs.create_dir(self._staging(inner), recursive=True)
+            names = [f"part-00000-{self.job}.fits"]
+            with fs.open_output_stream(f"{self._staging(inner)}/{names[0]}") as out:
+                for c in table_bytes(to_arrow_schema(self.wanted).empty_table(), self.wanted, self.options.get("extname"), more_cards(self.options.get("header", ""))):
+                    out.write(c)
+        made = {f"{inner.rstrip('/')}/{n}" for n in names}
+        for n in names:
+            fs.move(f"{self._staging(inner)}/{n}", f"{inner.rstrip('/')}/{n}")
         for old in self.old:
-            fs.delete_file(old)
-        for m in messages:
-            if m is not None and m.name:
-                fs.move(f"{self._staging(inner)}/{m.name}", f"{inner.rstrip('/')}/{m.name}")
+            if old not in made:
+                fs.delete_file(old)
         self._clear(fs, inner)
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -3,11 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 
 from ..operators import images, memory, tables
+from ..sources.storage import open_file
+
+#: Bytes of a chunk of a file.
+CHUNK_BYTES = 64 * 2880
+
+
+class Progress(NamedTuple):
+    """How much of a file has been read: bytes up to now, and bytes in all."""
+
+    done: int
+    total: int
+
+
+def stream_bytes(path: str, chunk: int = CHUNK_BYTES) -> Iterator[tuple[Progress, bytes]]:
+    """The bytes of a file in order, a chunk at a time, each with the progress after it."""
+    file = open_file(path)
+    try:
+        for at in range(0, file.size, chunk):
+            data = file.at(at, chunk)
+            yield Progress(at + len(data), file.size), data
+    finally:
+        file.close()
 
 
 def stream_rows(spark: SparkSession, path: str, **options: object) -> Iterator[Row]:
