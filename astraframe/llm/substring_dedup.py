@@ -185,7 +185,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index_of = found.groupBy("lo", "hi").agg(*ends)
     alike = F.col("min_mark") == F.col("max_mark")  # one text, or copies of it: any of its ids with any of its positions
     pairs = [F.struct(F.when(alike, F.col(f"{m}_id")).otherwise(F.col(f"{n}_id")).alias("doc"), F.when(alike, F.col(f"{m}_first")).otherwise(F.col(f"{n}_first")).alias("at")) for m, n in (("min", "low"), ("max", "high"))]
-    index_of = index_of.select("lo", "hi", pairs[0].alias("one"), pairs[1].alias("two"))
+    index_of = stash(index_of.select("lo", "hi", pairs[0].alias("one"), pairs[1].alias("two")), "index")  # a table, so that the join can split a frequent hash
     unit = F.struct("first", "count", F.col("one.doc").alias("doc1"), F.col("one.at").alias("at1"), F.col("two.doc").alias("doc2"), F.col("two.at").alias("at2"))
     spans = stash(found.join(index_of, ["lo", "hi"]).groupBy(F.col("id").alias("of"), F.col("mark").alias("of_mark")).agg(F.array_sort(F.collect_set(unit)).alias("units")), "spans")
     unit_names = ["first", "count", "doc1", "at1", "doc2", "at2"]
