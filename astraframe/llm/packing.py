@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, small_batches, stash, text_slices
-from .tokens import encoder
+from .tokens import encoder, parts
 
 #: Ranks of a length are below this, as are lengths times it in 64 bits.
 _RANKS = 1 << 44
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             for some in text_slices(batch):
                 out: list[tuple] = []
                 for i, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    ids = np.concatenate([e.ids(text), end])
+                    ids = np.concatenate([*(e.ids(p) for p in parts(text or "")), end])
                     first = len(ids) % capacity or capacity
                     for k, stop in enumerate(range(first, len(ids) + 1, capacity)):
                         start = max(0, stop - capacity) if k else 0

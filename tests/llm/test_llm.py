@@ -511,6 +511,20 @@ def test_encoder():
         assert list(e.ids(t)) == want and [i for p in parts(t, 50) for i in e.ids(p)] == want and "".join(parts(t, 50)) == t
 
 
+def test_cuts_and_batches_of_the_encoder():
+    import random
+
+    e, r = Encoder(queries.tokenizer_path()), random.Random(3)
+    letters = [*"ab1's  \n\t\u00a0é。，一字あア한가!?<|\u3000\u200b\u180e\ufeff\x1c\x85´🙂", "<|endoftext|>", " the", " don't"]
+    for _ in range(500):
+        text = "".join(r.choice(letters) for _ in range(r.randint(1, 60)))
+        cut = list(parts(text, 5))
+        want = e.whole.encode(text, add_special_tokens=False).ids
+        assert "".join(cut) == text and [i for p in cut for i in e.ids(p)] == want and sum(e.lengths(cut)) == len(want)
+    assert max(map(len, parts("一二三四五六七八九，" * 1000, 50))) <= 60
+    assert e.lengths([]) == [] and e.lengths(["", "a b", "字", ""]) == [0, 2, len(e.ids("字")), 0]
+
+
 def test_token_counts(docs, empty):
     from astraframe.llm.tokens import count_tokens
 
