@@ -46,8 +46,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     numbered = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered, id_col="__row").select("__row", F.col("component_id").alias("__group"))
-    kept = found.join(numbered.select("__row", "doc_id"), "__row").groupBy("__group").agg(F.min(ranked)["__row"].alias("__kept"))
+    with stash_scope(spark) as own:
+        found = near_duplicates(numbered, id_col="__row").select("__row", F.col("component_id").alias("__group"))
+    kept = stash(found.join(numbered.select("__row", "doc_id"), "__row").groupBy("__group").agg(F.min(ranked)["__row"].alias("__kept")), "kept")
+    drop_stashed(spark, own)  # only the rows that stay are needed from here on
     return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
