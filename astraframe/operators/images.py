@@ -17,7 +17,7 @@ PLACES = {
     "GRBG": ((1, 0), (0, 0), (1, 1), (0, 1)),
     "GBRG": ((0, 1), (0, 0), (1, 1), (1, 0)),
 }
-NO_PATTERN = "superpixels need a Bayer pattern; the image has none that is known, and none was given"
+NO_PATTERN = "Can not perform superpixel demosaic on a non rgb image: it has no Bayer pattern that is known, and none was given"
 
 
 def read_image(spark: SparkSession, path: str, plane: int | None = None, layout: str = "pixels", schema: T.StructType | str | None = None, **options: object) -> DataFrame:
