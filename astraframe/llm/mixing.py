@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, lean, stash
@@ -83,14 +83,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(docs[id_col].cast("long").alias("id"), docs[source_col].cast("string").alias("source"), size.alias("size"))
-    return mix_sized(sized, weights, epochs).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    taken, _ = mix_sized(sized, weights, epochs)
+    return taken.groupBy("rid", "id", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mix_sized(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
-    """(id, source, size) to (rid, id, size, source_size, target, taken); rid is the caller's or a new one."""
-    if "rid" not in sized.columns:
-        sized = sized.withColumn("rid", F.monotonically_increasing_id())
-    sized = stash(sized.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))), "sized")
+def _hashed(ident: Column) -> Column:
+    return F.md5(F.coalesce(ident.cast("string"), F.lit("")).cast("binary"))
+
+
+def mix_sized(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
+    """(id, source, size) to what the mix takes of each copy (rid, nr, h, id, size, source_size, target, epoch, taken), and the targets."""
+    sized = stash(sized.withColumn("rid", F.monotonically_increasing_id()).withColumn("h", _hashed(F.col("id"))), "sized")
     targets = stash(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs), "targets")
     queued = sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("nr", "h", "id", "size", "rid", "source_size", "target")
     queued = _running(queued, "nr", ["nr", "h", "id", "size", "rid"], "queued")
@@ -100,19 +103,54 @@ def mix_sized(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: in
     timed = _running(copies, "all", ["finish", "nr", "h", "id", "size", "rid", "epoch"], "timed")
     budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     taken = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.lit(budget).cast("long") - (F.col("cum") - F.col("size"))))
-    return timed.groupBy("rid", "id", "size", "source_size", "target").agg(F.sum(taken).alias("taken"))
+    return timed.withColumn("taken", taken), targets
+
+
+def mix_plan(taken: DataFrame, targets: DataFrame) -> DataFrame:
+    """What mix_sized takes, as one row a source with words: (of, nr, passes, bound, more, cut, rest).
+
+    A source's rows, in order of their key (h, id, size), are taken whole passes + 1 times up to bound,
+    of whose equals more rows are (bound is null if there are none), and passes times from there on.
+    The mix ends in one row: it is the first of those equal to cut that is taken passes times, and
+    gives rest words once more.
+    """
+    rows = taken.where("size > 0").groupBy("rid", "nr", "id", "size").agg(F.sum("taken").alias("taken"))
+    rows = rows.select("nr", F.struct(_hashed(F.col("id")).alias("h"), "id", "size").alias("key"), F.expr("taken div size").alias("whole"), F.expr("taken % size").alias("rest"))
+    rows = stash(rows, "mixed")
+    most = F.max(F.struct("whole", "key"))
+    ends = rows.groupBy("nr").agg(F.min("whole").alias("passes"), most.alias("most"), F.max(F.when(F.col("rest") > 0, F.struct("key", "rest"))).alias("end"))
+    ends = ends.select("nr", "passes", F.when(F.col("most.whole") > F.col("passes"), F.col("most.key")).alias("bound"), F.col("end.key").alias("cut"), F.col("end.rest").alias("rest"))
+    more = rows.join(ends.select("nr", "passes", "bound"), "nr").where("whole > passes and key <=> bound").groupBy("nr").agg(F.count("*").alias("more"))
+    plan = ends.join(more, "nr", "left").join(targets.select("nr", F.col("source").alias("of")), "nr")
+    return stash(plan.select("of", "nr", "passes", "bound", F.coalesce("more", F.lit(0)).alias("more"), "cut", "rest"), "plan")
 
 
 def apply_mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
     """docs as the mix holds them: a row is repeated once a pass that takes it whole; the copy at which
-    the budget ends keeps its first words, cut after the last of them; rows not taken go."""
-    kept = stash(docs.withColumn("__rid", F.monotonically_increasing_id()), "to_mix")
-    size = F.coalesce(F.regexp_count(kept[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    taken = mix_sized(kept.select(kept["__rid"].alias("rid"), kept[id_col].cast("long").alias("id"), kept[source_col].cast("string").alias("source"), size.alias("size")), weights, epochs).where("taken > 0").select(F.col("rid").alias("__rid"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rest = F.col("__taken") % F.col("__size")
-    head = F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>"))
-    whole = F.array_repeat(F.col("__size"), (F.col("__taken") / F.col("__size")).cast("int"))
-    copies = kept.join(taken, "__rid").withColumn("__words", F.explode(F.concat(whole, head)))
-    led = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(led, F.lit(1), F.col("__words").cast("int")), "")).otherwise(F.col(text_col))
-    return copies.withColumn(text_col, cut).select(*docs.columns)
+    the budget ends keeps its first words, cut after the last of them; rows not taken go.
+
+    Rows are told what is taken of them by their source's row of the plan. So no text is shuffled
+    where the plan, a row a source, is small enough to be broadcast, and written are only rows with
+    the keys at which passes end, which count off their equals. docs is read several times and must
+    give the same rows each time.
+    """
+    ident, source = docs[id_col].cast("long").alias("id"), docs[source_col].cast("string").alias("source")
+    counted = lambda text: F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    plan = mix_plan(*mix_sized(docs.select(ident, source, counted(docs[text_col])), weights, epochs))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), ident, source).join(plan, F.col("source").eqNullSafe(F.col("of")))
+    rows = rows.withColumn("h", _hashed(F.col("id"))).withColumn("size", counted(F.col("doc")[text_col]))
+    equal = lambda key: F.coalesce((F.col("h") == F.col(key)["h"]) & F.col("id").eqNullSafe(F.col(key)["id"]) & (F.col("size") == F.col(key)["size"]), F.lit(False))
+    none = F.lit(0).cast("long")
+    ends = stash(rows.where(equal("bound") | equal("cut")).withColumn("rid", F.monotonically_increasing_id()), "ends")
+    at = ends.select((F.col("nr") * 2 + equal("bound").cast("long")).alias("group"), "rid", F.lit(1).cast("long").alias("size"))
+    nth = _running(at, "group", ["group", "rid"], "nth").select("rid", F.col("cum").alias("nth"))
+    first = F.when(equal("bound"), F.col("more")).otherwise(none)
+    ends = ends.join(nth, "rid").select("doc", "size", (F.col("passes") + (F.col("nth") <= first).cast("long")).alias("whole"), F.when(equal("cut") & (F.col("nth") == first + 1), F.col("rest")).otherwise(none).alias("rest"))
+    before = F.coalesce(F.struct("h", "id", "size") < F.col("bound"), F.lit(False))
+    rows = rows.where(~(equal("bound") | equal("cut"))).select("doc", "size", F.when(F.col("size") > 0, F.col("passes") + before.cast("long")).otherwise(none).alias("whole"), none.alias("rest"))
+    head = F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<bigint>"))
+    copies = rows.unionByName(ends).withColumn("words", F.explode(F.concat(F.array_repeat("size", F.col("whole").cast("int")), head)))
+    text = F.col("doc")[text_col]
+    led = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(led, F.lit(1), F.col("words").cast("int")), "")).otherwise(text)
+    return copies.select(*((cut if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns))

@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blooms
-from .common import grouped, lean, mix, powers, raw, rolling, small_batches, stash, text_slices, words_of
+from .common import drop_stashed, grouped, lean, mix, powers, raw, rolling, small_batches, stash, stash_scope, text_slices, words_of
 
 BANDS, ROWS, ODD_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
@@ -363,19 +364,8 @@ def rest_links(source: DataFrame, vertex: DataFrame, ties: DataFrame, label: Dat
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, nearest: int = NEAREST, block: int = BLOCK, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """One row a row: id, n_shingles, component_id, kept.
-
-    Texts are taken in lower case (A-Z), their words are runs of anything but ASCII white space; a
-    text of fewer words than a shingle is one shingle. Rows are linked at 100 * intersection >=
-    percent * union; component_id is the least id that links reach. Null and empty texts have no
-    shingles and are linked with nothing. Null ids count as greater than all others: a component of
-    null ids alone has a null component_id, and its rows are kept. Repeated rows are linked and, as
-    they share their id, kept alike; rows of one id with different texts are judged each. An empty
-    table gives no rows. Other columns are not read.
-    """
-    small_batches(docs.sparkSession)
-    source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+def clusters(source: DataFrame, words: int, percent: int, nearest: int = NEAREST, block: int = BLOCK, block_sets: int = BLOCK_SETS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, text) to (id, n, lo, hi, ...) of each row, its vertices (v, lo, hi, id, ...), and the (v, root) of all linked ones."""
     rows = stash(sketched(source, words), "sketches")
     vertex = rows.where("n > 0").groupBy("lo", "hi").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("n", "bands", "odd")))
     vertex = stash(vertex.withColumn("v", F.monotonically_increasing_id()), "vertices")
@@ -393,9 +383,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = others.where("tie").select(*ends)
     if not ties.isEmpty() and not (links := rest_links(source, vertex, ties, label, words, percent, block_sets)).isEmpty():
         label = joined_components(label, links)
+    return rows, vertex, label
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, nearest: int = NEAREST, block: int = BLOCK, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """One row a row: id, n_shingles, component_id, kept.
+
+    Texts are taken in lower case (A-Z), their words are runs of anything but ASCII white space; a
+    text of fewer words than a shingle is one shingle. Rows are linked at 100 * intersection >=
+    percent * union; component_id is the least id that links reach. Null and empty texts have no
+    shingles and are linked with nothing. Null ids count as greater than all others: a component of
+    null ids alone has a null component_id, and its rows are kept. Repeated rows are linked and, as
+    they share their id, kept alike; rows of one id with different texts are judged each. An empty
+    table gives no rows. Other columns are not read.
+    """
+    small_batches(docs.sparkSession)
+    source = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows, vertex, label = clusters(source, words, percent, nearest, block, block_sets)
     linked = label.join(vertex.select("v", "id"), "v")
     named = linked.join(linked.groupBy("root").agg(F.min("id").alias("least")), "root").select("v", "least")
     named = stash(vertex.select("v", "lo", "hi", "id").join(named, "v", "left").select("lo", "hi", F.coalesce("least", "id").alias("component")), "named")
     out = rows.select("id", "n", "lo", "hi").join(named, ["lo", "hi"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, unchanged, less all but one of each component: that of the least id (null above all), then the first.
+
+    Rows without shingles stay. No text is written, and only texts are shuffled whose id a Bloom filter
+    of the ids of rows that go lets pass; those are told by id and digest, which are made anew. docs
+    is read several times and must give the same rows each time.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    with stash_scope(spark) as own:
+        rows, vertex, label = clusters(docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")), words, percent)
+        group = vertex.select("v", "lo", "hi").join(label, "v", "left").select("lo", "hi", F.coalesce("root", "v").alias("group"))
+        found = stash(rows.where("n > 0").groupBy("id", "lo", "hi").agg(F.count("*").alias("rows")).join(group, ["lo", "hi"]), "found")
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id")))["id"].alias("least")
+        several = found.groupBy("group").agg(least, F.sum("rows").alias("all")).where("`all` > 1").select("group", "least")
+        families = stash(found.join(several, "group").withColumn("first", F.col("id").eqNullSafe(F.col("least"))), "families")
+        ties = families.where("first").groupBy("group").agg(F.sum("rows").alias("firsts")).where("firsts > 1").select("group", F.lit(True).alias("tie"))
+        open_ = families.join(ties, "group", "left").where("not first or tie")
+    gone = stash(open_.select(F.col("id").alias("of"), "lo", "hi", "group", "first"), "gone")
+    drop_stashed(spark, own)  # only the rows that go are needed from here on
+    losing = spark.sparkContext.broadcast(blooms.build(gone.select(F.xxhash64("of").alias("mark")), gone.count()))
+    carried = docs.select(docs[id_col].cast("long").alias("id"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    carried, text_at = carried.withColumn("mark", F.xxhash64("id")), docs.columns.index(text_col)
+
+    @lean
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield blooms.pick(batch, "mark", losing.value, inside=False).select(["doc"])
+
+    @lean
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = blooms.pick(batch, "mark", losing.value)
+            for part in text_slices(some.append_column("text", pc.struct_field(some.column("doc"), [text_at]))):
+                doc, _, lo, hi = digests(*shingle_sets(*raw(part.column("text")), words))
+                at = np.full(part.num_rows, -1)
+                at[doc] = np.arange(len(doc))
+                index = pa.array(at, mask=at < 0)
+                found = [pa.array(x, pa.int64()).take(index) if len(doc) else pa.nulls(part.num_rows, pa.int64()) for x in (lo, hi)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "doc", "row")), *found], names=["id", "doc", "row", "lo", "hi"])
+
+    kept = carried.mapInArrow(others, carried.select("doc").schema)
+    some = carried.mapInArrow(digested, carried.select("id", "doc", "row").schema.add("lo", "long").add("hi", "long"))
+    some = some.join(gone.withColumnsRenamed({"lo": "of_lo", "hi": "of_hi"}), F.col("id").eqNullSafe(F.col("of")) & (F.col("lo") == F.col("of_lo")) & (F.col("hi") == F.col("of_hi")), "left")
+    some = some.where("first is null or first").groupBy("group", F.when(F.col("first").isNull(), F.col("row")).alias("own")).agg(F.min_by("doc", "row").alias("doc"))
+    return kept.unionByName(some.select("doc")).select("doc.*")
