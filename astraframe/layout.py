@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 BLOCK = 2880
 CARD = 80
+#: A logical of an image extension with the rows of the plane that follows the planes of the unit before it.
+LAST_PLANE = "LASTPLAN"
 
 #: Both follow the format's definition, except where "reference" is asked for: then layouts and values
 #: are those that the reference implementation's arithmetic gives, wherever it gives a value.

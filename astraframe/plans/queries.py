@@ -283,6 +283,8 @@ def _image(spark: SparkSession, sf_dir: str, kind: str, rows_a_plane: int | None
     px = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode(F.col("embedding").cast("array<double>")).alias("x", "p"))
     plane, y = (F.floor(F.col("y") / rows_a_plane), F.col("y") % rows_a_plane) if rows_a_plane else (F.lit(0).cast("bigint"), F.col("y"))
     samples = px.select(plane.alias("plane"), y.alias("y"), F.col("x").cast("bigint").alias("x"), F.expr(expr).alias("raw"))
+    if rows_a_plane:
+        more = more | {"height": rows_a_plane}
     return bridge.image_file(samples, bitpix=bitpix, bzero=z, bscale=s, **more)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..layout import ASCII_TYPES, BITPIX, MODES, ascii_fields, padded, table_fields
 from . import decode
-from .headers import FormatError, Unit, pick, units
+from .headers import FormatError, Unit, last_plane, pick, units
 from .storage import list_files, open_bytes, open_file
 
 PARTITION_BYTES = 64 << 20
@@ -157,44 +157,26 @@ def data_batches(path: str, file, part: int, parts: int, schema: T.StructType, s
         if s.failfast:
             raise FormatError(f"{path}: no {s.relation} at {s.hdu if s.hdu is not None else 'any unit'}")
         return
-    axes, at = u.axes, None
     if s.relation == "image":
-        w, h, planes = u.plane
-        if u.bitpix is None:
-            raise FormatError(f"{path}: unit {u.index}: BITPIX is invalid")
-        line = w * BITPIX[u.bitpix][0]
-        each, high = (2, h // 2) if s.layout == "pairs" else (1, h)
-        total, stride = high * planes, each * line
-        if s.layout == "pairs" and h % 2 and planes > 1:  # planes apart: a pair's place isn't its number times its size
-            at = lambda k: (k // high * h + k % high * 2) * line
-    else:
-        if len(axes) != 2:
-            raise FormatError(f"{path}: unit {u.index}: a table has two axes, this one has {len(axes)}")
-        total, stride = axes[1], axes[0]
-        fields = {f.name.lower(): f for f in (table_fields(u.first, s.mode) if s.relation == "table" else ascii_fields(u.first))}
-        for f in schema.fields:
-            if f.name.lower() not in fields and f.name not in ("_path", "_hdu", "_row"):
-                raise FormatError(f"{path}: unit {u.index} has no column {f.name}")
-    base, many = 0, total
-    if s.relation == "image" and s.plane is not None:  # a plane is a range of rows, the only one that is read
-        base, many = s.plane * high, high if 0 <= s.plane < planes else 0
-    first, stop = base + many * part // parts, base + many * (part + 1) // parts
+        yield from _image_batches(path, file, u, part, parts, schema, s, span)
+        return
+    axes = u.axes
+    if len(axes) != 2:
+        raise FormatError(f"{path}: unit {u.index}: a table has two axes, this one has {len(axes)}")
+    total, stride = axes[1], axes[0]
+    fields = {f.name.lower(): f for f in (table_fields(u.first, s.mode) if s.relation == "table" else ascii_fields(u.first))}
+    for f in schema.fields:
+        if f.name.lower() not in fields and f.name not in ("_path", "_hdu", "_row"):
+            raise FormatError(f"{path}: unit {u.index} has no column {f.name}")
+    first, stop = total * part // parts, total * (part + 1) // parts
     if span:
         first, stop = max(first, span[0]), min(stop, span[1])
     arrow = to_arrow_schema(schema)
     step = max(1, BATCH_BYTES // max(1, stride))
-    if at is not None:
-        step = 1
     heap_at = u.data_offset + int(u.first.get("THEAP") or stride * total)
     for a in range(first, stop, step):
         b = min(stop, a + step)
-        data = file.at(u.data_offset + (at(a) if at else a * stride), (b - a) * stride)
-        if len(data) < (b - a) * stride:
-            raise FormatError(f"{path}: unit {u.index} ends early: rows {a} to {b} need {(b - a) * stride} bytes, {len(data)} are there")
-        block = np.frombuffer(data, np.uint8).reshape(b - a, stride)
-        if s.relation == "image":
-            yield _image_batch(path, u, block, a, arrow, schema, s)
-            continue
+        block = _rows(path, file, u, a, b, a * stride, stride)
         cols = []
         for f in schema.fields:
             if f.name in ("_path", "_hdu", "_row"):
@@ -206,11 +188,44 @@ def data_batches(path: str, file, part: int, parts: int, schema: T.StructType, s
         yield pa.RecordBatch.from_arrays(cols, schema=arrow) if cols else pa.RecordBatch.from_struct_array(pa.array([{}] * (b - a), pa.struct([])))
 
 
-def _image_batch(path: str, u: Unit, block: np.ndarray, first: int, arrow: pa.Schema, schema: T.StructType, s: Settings) -> pa.RecordBatch:
+def _rows(path: str, file, u: Unit, a: int, b: int, at: int, stride: int) -> np.ndarray:
+    """Rows a to b of a unit, which begin at a byte of its data."""
+    data = file.at(u.data_offset + at, (b - a) * stride)
+    if len(data) < (b - a) * stride:
+        raise FormatError(f"{path}: unit {u.index} ends early: rows {a} to {b} need {(b - a) * stride} bytes, {len(data)} are there")
+    return np.frombuffer(data, np.uint8).reshape(b - a, stride)
+
+
+def _image_batches(path: str, file, u: Unit, part: int, parts: int, schema: T.StructType, s: Settings, span: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
+    """Rows (or pairs of rows) of an image are numbered through its planes; those of a last plane that isn't full are in the unit after it."""
+    w, h, planes = u.plane
+    if u.bitpix is None:
+        raise FormatError(f"{path}: unit {u.index}: BITPIX is invalid")
+    line = w * BITPIX[u.bitpix][0]
+    each, high = (2, h // 2) if s.layout == "pairs" else (1, h)
+    total, stride, arrow = high * planes, each * line, to_arrow_schema(schema)
+    rest = last_plane(file, u)
+    more = rest.plane[1] // each if rest else 0
+    base, many = 0, total + more
+    if s.plane is not None:  # a plane is a range of rows, the only one that is read
+        base, many = s.plane * high, high if 0 <= s.plane < planes else more if s.plane == planes else 0
+    first, stop = base + many * part // parts, base + many * (part + 1) // parts
+    if span:
+        first, stop = max(first, span[0]), min(stop, span[1])
+    apart = s.layout == "pairs" and h % 2 and planes > 1  # planes apart: a pair's place isn't its number times its size
+    step = max(1, BATCH_BYTES // max(1, stride))
+    for unit, low, end, step in ((u, 0, total, 1 if apart else step), *([(rest, total, total + more, step)] if rest else [])):
+        for a in range(max(first, low), min(stop, end), step):
+            b = min(stop, end, a + step)
+            at = (a // high * h + a % high * 2) * line if apart and unit is u else (a - low) * stride
+            yield _image_batch(path, unit, high, _rows(path, file, unit, a - low, b - low, at, stride), a, arrow, schema, s)
+
+
+def _image_batch(path: str, u: Unit, high: int, block: np.ndarray, first: int, arrow: pa.Schema, schema: T.StructType, s: Settings) -> pa.RecordBatch:
     w, h, _ = u.plane
     rows = np.arange(first, first + len(block))
     pairs = s.layout == "pairs"
-    high, each = h // 2 if pairs else h, w if s.layout == "pixels" else 1
+    each = w if s.layout == "pixels" else 1
     n = len(block) * each
     num = lambda k, d: float(v) if isinstance(v := u.first.get(k), (int, float)) else d
     bayer = u.first.get("BAYERPAT")

@@ -2,7 +2,8 @@
 
 The primary unit is empty (or the image itself), a table is one BINTABLE extension. Options: ``kind``
 (table, image), ``extname``, ``bitpix`` of images (default by the type of raw), ``bzero``, ``bscale``,
-``bayer``, ``header`` (more "KEY=value" cards, by newlines). A task's rows are held until their number
+``bayer``, ``height`` (rows of a plane: the last one may then have fewer, which an image extension holds),
+``header`` (more "KEY=value" cards, by newlines). A task's rows are held until their number
 and the widest text are known, so a task's memory bounds its file; repartition before writing.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..layout import BITPIX, CARD, padded
+from ..layout import BITPIX, CARD, LAST_PLANE, padded
 from .storage import file_system
 
 # The letter of a Spark type.
@@ -120,29 +121,43 @@ def table_bytes(table: pa.Table, schema: T.StructType, extname: str | None, more
     yield b"\0" * (padded(stride * table.num_rows) - stride * table.num_rows)
 
 
-def image_bytes(planes: np.ndarray, more: list[bytes], bitpix: int, calibration: list[bytes]) -> Iterator[bytes]:
-    """A whole file whose primary unit is a stack of planes, height by width each."""
+def image_bytes(planes: np.ndarray, rest: np.ndarray, more: list[bytes], bitpix: int, calibration: list[bytes]) -> Iterator[bytes]:
+    """A whole file whose primary unit is a stack of planes, height by width each; rest are the rows of a last plane that isn't full."""
     n, h, w = planes.shape
-    axes = [w, h, n] if n > 1 else [w, h]
-    if not planes.size:
+    axes = [w, h] if n == 1 and not len(rest) else [w, h, n]
+    if not planes.size and not rest.size:
         axes = []
     cards = [card("SIMPLE", True), card("BITPIX", bitpix), card("NAXIS", len(axes)), *(card(f"NAXIS{i}", a) for i, a in enumerate(axes, 1))]
     yield header(cards + calibration + more)
+    yield from _samples(planes, bitpix)
+    if rest.size:
+        cards = [card("XTENSION", "IMAGE"), card("BITPIX", bitpix), card("NAXIS", 2), card("NAXIS1", w), card("NAXIS2", len(rest)), card("PCOUNT", 0), card("GCOUNT", 1)]
+        yield header([*cards, card(LAST_PLANE, True, "rows of the next plane, which isn't full"), *calibration])
+        yield from _samples(rest[None], bitpix)
+
+
+def _samples(planes: np.ndarray, bitpix: int) -> Iterator[bytes]:
     for p in planes:
         yield p.astype(BITPIX[bitpix][1]).tobytes()
     size = planes.size * BITPIX[bitpix][0]
     yield b"\0" * (padded(size) - size)
 
 
-def stack(table: pa.Table) -> np.ndarray:
-    """(plane, y, x, raw) or (plane, y, raw list) rows of whole planes to an array of planes."""
+def stack(table: pa.Table, height: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(plane, y, x, raw) or (plane, y, raw list) rows to an array of whole planes and the rows of a last one that isn't full.
+
+    Only with a height the last plane may have fewer rows.
+    """
     get = lambda c: table.column(c).to_numpy()
     plane, y = get("plane").astype(np.int64), get("y").astype(np.int64)
     if not len(plane):
-        return np.zeros((0, 0, 0))
+        return np.zeros((0, 0, 0)), np.zeros((0, 0))
     raw = table.column("raw").combine_chunks()
     raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-    n, h = int(plane.max()) + 1, int(y.max()) + 1
+    n, h = int(plane.max()) + 1, height or int(y.max()) + 1
+    last = int(y[plane == n - 1].max()) + 1
+    if y.max() >= h:
+        raise ValueError(f"row {int(y.max())} of planes of {h} rows")
     if pa.types.is_list(raw.type):
         flat = raw.flatten().to_numpy()
         w = len(flat) // len(plane)
@@ -150,11 +165,11 @@ def stack(table: pa.Table) -> np.ndarray:
     else:
         flat, x = raw.to_numpy(), get("x").astype(np.int64)
         w = int(x.max()) + 1
-    if len(flat) != n * h * w:
+    if len(flat) != ((n - 1) * h + (last if height else h)) * w:
         raise ValueError(f"{len(flat)} samples don't fill {n} planes of {w} by {h}")
     out = np.zeros((n, h, w), flat.dtype)
     out[plane, y, x] = flat
-    return out
+    return (out, out[0, :0]) if last == h else (out[: n - 1], out[n - 1, :last])
 
 
 @dataclass
@@ -186,7 +201,7 @@ class Writer(DataSourceArrowWriter):
             kind = self.wanted["raw"].dataType
             kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
             calibration = [card(k, float(o[n])) for k, n in (("BZERO", "bzero"), ("BSCALE", "bscale")) if n in o] + ([card("BAYERPAT", o["bayer"])] if "bayer" in o else [])
-            chunks = image_bytes(stack(table), more, int(o.get("bitpix", _BITPIX_OF[kind.simpleString()])), calibration)
+            chunks = image_bytes(*stack(table, int(o["height"]) if "height" in o else None), more, int(o.get("bitpix", _BITPIX_OF[kind.simpleString()])), calibration)
         else:
             chunks = table_bytes(table, self.wanted, o.get("extname"), more)
         fs, inner = file_system(self.path)

@@ -136,3 +136,25 @@ def test_streams(spark, tmp_path):
     q = df.writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select * from arrived").count() == 1
+
+
+def test_last_plane_not_full(spark, tmp_path):
+    """13 rows of 4 in planes of 5: two whole planes, and 3 rows in an extension."""
+    df = spark.range(52).select(F.floor(F.col("id") / 20).alias("plane"), F.floor(F.col("id") % 20 / 4).alias("y"), (F.col("id") % 4).alias("x"), F.col("id").cast("smallint").alias("raw"))
+    path = str(tmp_path / "out")
+    with pytest.raises(Exception, match="don't fill"):
+        images.write_images(df, path, bitpix=16)
+    images.write_images(df, path, bitpix=16, bzero=1.0, bayer="RGGB", height=5)
+    for size in (2900, 1 << 20):
+        back = images.read_image(spark, path, partitionBytes=size)
+        assert sorted(map(tuple, back.select("plane", "y", "x", "raw").collect())) == sorted(map(tuple, df.collect()))
+        assert {r["bzero"] for r in back.collect()} == {1.0}
+        assert [r["raw"] for r in images.read_image(spark, path, plane=2, layout="rows", partitionBytes=size).orderBy("y").collect()] == [list(range(40 + 4 * k, 44 + 4 * k)) for k in range(3)]
+        assert images.read_image(spark, path, plane=3, partitionBytes=size).count() == 0
+        pairs = images.superpixel_pairs(images.read_image(spark, path, layout="pairs", partitionBytes=size)).orderBy("plane", "y", "x").collect()
+        assert pairs == images.superpixel(back).orderBy("plane", "y", "x").collect() and len(pairs) == 10
+    catalog = headers.hdus(spark, path)
+    assert [(r.width, r.height, r.n_planes) for r in catalog.orderBy("hdu_index").collect()] == [(4, 5, 2), (4, 3, 1)]
+    images.write_images(df.where("raw < 8"), path, bitpix=16, height=5)
+    one = headers.primary(headers.hdus(spark, path)).first()
+    assert (one.width, one.height, one.n_planes) == (4, 5, 0) and images.read_image(spark, path, plane=0).count() == 8

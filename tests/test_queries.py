@@ -27,6 +27,18 @@ def test_query(spark, con, name):
     assert sorted(map(repr, map(tuple, df.select(*found.columns).collect()))) == sorted(map(repr, found.fetchall()))
 
 
+@pytest.mark.parametrize("name", ["image_catalog"])
+@pytest.mark.parametrize("rows", [163, 507])
+def test_planes_of_any_number_of_rows(spark, tmp_path, name, rows):
+    """Vectors that don't fill their planes."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * FROM (SELECT * FROM '{SF}/embeddings.parquet' UNION ALL SELECT vec_id + 500, embedding, label FROM '{SF}/embeddings.parquet') WHERE vec_id < {rows}) TO '{tmp_path}/embeddings.parquet'")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    found = con.sql(ORACLES[name])
+    df = QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, df.select(*found.columns).collect()))) == sorted(map(repr, found.fetchall()))
+
+
 def test_entry_without_training_data_operators(tmp_path):
     """A copy of the repository without them: the entry and all other queries are there."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
