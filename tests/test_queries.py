@@ -27,7 +27,7 @@ def test_query(spark, con, name):
     assert sorted(map(repr, map(tuple, df.select(*found.columns).collect()))) == sorted(map(repr, found.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["image_catalog", "image_plane", "image_plane_index", "image_planes"])
+@pytest.mark.parametrize("name", ["image_catalog", "image_plane", "image_plane_index", "image_planes", "stream_pixels"])
 @pytest.mark.parametrize("rows", [163, 507])
 def test_planes_of_any_number_of_rows(spark, tmp_path, name, rows):
     """Vectors that don't fill their planes."""
