@@ -88,6 +88,11 @@ def table_header(kind: str, row_bytes: int, rows: int, columns: list[dict[str, s
     return header(cards + more)
 
 
+def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """The rows in tasks of about so many: those of a small table become whole files."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def big_endian(value: Column, size: int) -> Column:
     """An integer's last size bytes."""
     return F.unhex(F.right(F.lpad(F.hex(value.cast("bigint")), 16, "0"), F.lit(2 * size)))

@@ -104,7 +104,7 @@ def table_small_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = {"p_partkey": ("K", 8, F.col("p_partkey")), "b": ("B", 1, F.col("p_size")), "s": ("S", 1, -F.col("p_size")), "i": ("I", 2, -300 * F.col("p_size")), "u": ("U", 2, 40000 + F.col("p_size")), "j": ("J", 4, -F.col("p_partkey")), "v": ("V", 4, F.lit(3000000000) + F.col("p_partkey")), "k": ("K", 8, F.lit(-5000000000) * F.col("p_partkey"))}
     head = bridge.table_header("BINTABLE", sum(n for _, n, _ in values.values()), 1, [{"TTYPE": f"'{c}'", "TFORM": f"'1{letter}'"} for c, (letter, _, _) in values.items()])
     data = F.concat(*(bridge.big_endian(v, n) for _, n, v in values.values()))
-    made = _table(spark, sf_dir, "part").select(F.lit("memory").alias("path"), bridge.content(head, data).alias("content"))
+    made = bridge.spread(_table(spark, sf_dir, "part")).select(F.lit("memory").alias("path"), bridge.content(head, data).alias("content"))
     df = memory.relation(made, "table", "p_partkey long, b short, s byte, i short, u int, j int, v long, k long")
     return df.select(*(F.col(c).cast("long").alias(c) for c in values))
 

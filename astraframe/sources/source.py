@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..layout import ASCII_TYPES, BITPIX, MODES, ascii_fields, padded, table_fields
+from ..layout import ASCII_TYPES, BITPIX, MODES, Field, ascii_fields, padded, table_fields
 from . import decode
 from .headers import FormatError, Unit, last_plane, pick, units
 from .storage import list_files, open_bytes, open_file
@@ -164,28 +164,40 @@ def data_batches(path: str, file, part: int, parts: int, schema: T.StructType, s
     if len(axes) != 2:
         raise FormatError(f"{path}: unit {u.index}: a table has two axes, this one has {len(axes)}")
     total, stride = axes[1], axes[0]
-    fields = {f.name.lower(): f for f in (table_fields(u.first, s.mode) if s.relation == "table" else ascii_fields(u.first))}
-    for f in schema.fields:
-        if f.name.lower() not in fields and f.name not in ("_path", "_hdu", "_row"):
-            raise FormatError(f"{path}: unit {u.index} has no column {f.name}")
+    fields = _fields(path, u, schema, s)
     first, stop = total * part // parts, total * (part + 1) // parts
     if span:
         first, stop = max(first, span[0]), min(stop, span[1])
-    arrow = to_arrow_schema(schema)
     step = max(1, BATCH_BYTES // max(1, stride))
     heap_at = u.data_offset + int(u.first.get("THEAP") or stride * total)
     for a in range(first, stop, step):
         b = min(stop, a + step)
         block = _rows(path, file, u, a, b, a * stride, stride)
-        cols = []
-        for f in schema.fields:
-            if f.name in ("_path", "_hdu", "_row"):
-                cols.append({"_path": lambda: pa.array([path] * (b - a)), "_hdu": lambda: pa.array(np.full(b - a, u.index, np.int32)), "_row": lambda: pa.array(np.arange(a, b))}[f.name]())
-            elif s.relation == "ascii":
-                cols.append(decode.ascii_column(block, fields[f.name.lower()], f.dataType, s.scaling))
-            else:
-                cols.append(decode.column(block, fields[f.name.lower()], f.dataType, s.mode, s.scaling, s.nulls, lambda o, n: file.at(heap_at + o, n)))
-        yield pa.RecordBatch.from_arrays(cols, schema=arrow) if cols else pa.RecordBatch.from_struct_array(pa.array([{}] * (b - a), pa.struct([])))
+        yield _table_batch(u, fields, block, lambda: pa.array([path] * (b - a), pa.string()), lambda: np.arange(a, b), schema, s, lambda o, n: file.at(heap_at + o, n))
+
+
+def _fields(path: str, u: Unit, schema: T.StructType, s: Settings) -> dict[str, Field]:
+    """A table's columns by lower-case name; those of the schema must be there."""
+    fields = {f.name.lower(): f for f in (table_fields(u.first, s.mode) if s.relation == "table" else ascii_fields(u.first))}
+    for f in schema.fields:
+        if f.name.lower() not in fields and f.name not in ("_path", "_hdu", "_row"):
+            raise FormatError(f"{path}: unit {u.index} has no column {f.name}")
+    return fields
+
+
+def _table_batch(u: Unit, fields: dict[str, Field], block: np.ndarray, paths, ordinals, schema: T.StructType, s: Settings, heap) -> pa.RecordBatch:
+    """A block of a table's rows; paths and ordinals make what _path and _row are to have."""
+    n = len(block)
+    meta = {"_path": paths, "_hdu": lambda: pa.array(np.full(n, u.index, np.int32)), "_row": lambda: pa.array(ordinals())}
+    cols = []
+    for f in schema.fields:
+        if f.name in meta:
+            cols.append(meta[f.name]())
+        elif s.relation == "ascii":
+            cols.append(decode.ascii_column(block, fields[f.name.lower()], f.dataType, s.scaling))
+        else:
+            cols.append(decode.column(block, fields[f.name.lower()], f.dataType, s.mode, s.scaling, s.nulls, heap))
+    return pa.RecordBatch.from_arrays(cols, schema=to_arrow_schema(schema)) if cols else pa.RecordBatch.from_struct_array(pa.array([{}] * n, pa.struct([])))
 
 
 def _rows(path: str, file, u: Unit, a: int, b: int, at: int, stride: int) -> np.ndarray:
@@ -377,8 +389,12 @@ def register(spark: SparkSession) -> SparkSession:
 
 
 def decode_bytes(batches: Iterator[pa.RecordBatch], schema: T.StructType, s: Settings) -> Iterator[pa.RecordBatch]:
-    """(path, content) rows, each a whole file in memory, to the relation's rows."""
-    for b in batches:
+    """(path, content) rows, each a whole file in memory, to the relation's rows.
+
+    Tables of files in a row with one and the same header are decoded together.
+    """
+    alike = None
+    for b in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):  # Python's copies of few files at a time
         for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if content is None:
                 continue
@@ -386,8 +402,72 @@ def decode_bytes(batches: Iterator[pa.RecordBatch], schema: T.StructType, s: Set
             if s.relation in ("hdus", "cards"):
                 yield from _batches(_headers(path, file, s), schema)
                 continue
-            try:
-                yield from data_batches(path, file, 0, 1, schema, s)
-            except FormatError:
-                if not s.drop:
-                    raise
+            if alike is not None and not alike.takes(file):
+                yield from alike.batches(schema, s)
+                alike = None
+            if alike is None and (alike := Alike.of(file, schema, s)) is None:
+                yield from _one_file(path, file, schema, s)
+                continue
+            if alike.add(path, file):
+                yield from alike.batches(schema, s)
+    if alike is not None:
+        yield from alike.batches(schema, s)
+
+
+def _one_file(path: str, file, schema: T.StructType, s: Settings) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from data_batches(path, file, 0, 1, schema, s)
+    except FormatError:
+        if not s.drop:
+            raise
+
+
+class Alike:
+    """Files in memory whose bytes up to a table's data are the same: one header is parsed, and small tables are one block."""
+
+    def __init__(self, unit: Unit, fields: dict[str, Field], head: bytes):
+        self.unit, self.fields, self.head = unit, fields, head
+        self.total, self.stride = unit.axes[1], unit.axes[0]
+        self.size, self.files, self.held = self.total * self.stride, [], 0
+
+    @staticmethod
+    def of(file, schema: T.StructType, s: Settings) -> Alike | None:
+        """None for what is decoded by itself: images, broken headers, tables without rows or of more than a batch, cells in a heap."""
+        if s.relation == "image":
+            return None
+        try:
+            u = pick(file, s.hdu, s.kinds)
+            if u is None or len(u.axes) != 2 or not 0 < u.axes[0] * u.axes[1] <= BATCH_BYTES:
+                return None
+            fields = _fields(file.name, u, schema, s)
+        except ValueError:
+            return None
+        if any(f.name.lower() in fields and fields[f.name.lower()].format.letter in "PQ" for f in schema.fields):
+            return None
+        return Alike(u, fields, file.at(0, u.data_offset))
+
+    def takes(self, file) -> bool:
+        return file.data.startswith(self.head)
+
+    def add(self, path: str, file) -> bool:
+        """Whether a batch is there."""
+        self.files.append((path, file))
+        self.held += file.size
+        return self.held >= BATCH_BYTES
+
+    def batches(self, schema: T.StructType, s: Settings) -> Iterator[pa.RecordBatch]:
+        files, self.files, self.held = self.files, [], 0
+        if not files:
+            return
+        u, at = self.unit, self.unit.data_offset
+        data = [file.data[at : at + self.size] for _, file in files]
+        try:
+            if any(len(x) < self.size for x in data):
+                raise FormatError("a table ends early")
+            block = np.frombuffer(b"".join(data), np.uint8).reshape(len(files) * self.total, self.stride)
+            out = _table_batch(u, self.fields, block, lambda: pa.array([p for p, _ in files for _ in range(self.total)], pa.string()), lambda: np.tile(np.arange(self.total), len(files)), schema, s, None)
+        except FormatError:  # the file that breaks the format tells it, or is what is dropped
+            for path, file in files:
+                yield from _one_file(path, file, schema, s)
+            return
+        yield out

@@ -6,6 +6,7 @@ import sys
 import astraframe.plans.coverage  # noqa: F401
 import duckdb
 import pytest
+from astraframe.plans import bridge
 from astraframe.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +40,12 @@ def test_planes_of_any_number_of_rows(spark, tmp_path, name, rows):
     assert sorted(map(repr, map(tuple, df.select(*found.columns).collect()))) == sorted(map(repr, found.fetchall()))
 
 
+@pytest.mark.parametrize("name, tasks", [("table_small_ints", 4)])
+def test_rows_that_become_files_are_spread(spark, monkeypatch, name, tasks):
+    monkeypatch.setattr(bridge.spread, "__defaults__", (60,))
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() == tasks
+
+
 def test_entry_without_training_data_operators(tmp_path):
     """A copy of the repository without them: the entry and all other queries are there."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -163,6 +163,30 @@ def test_memory(spark, tmp_path):
     assert memory.cards(df).where("keyword = 'EXTNAME'").select("string").distinct().collect()[0][0] == "T"
 
 
+@pytest.mark.parametrize("drop", [True, False])
+def test_files_of_one_header(monkeypatch, drop):
+    """A header that files in a row have in common is parsed once; rows, their order and errors are those of each file by itself."""
+    import pyarrow as pa
+    from astraframe.sources import source
+
+    whole = [fx.PRIMARY + fx.table(KDDE, [star(10 * k + i) for i in range(2)], 28) for k in range(300)]
+    other = fx.PRIMARY + fx.table(KDDE, [star(7)], 28)
+    short = fx.PRIMARY + fx.table(KDDE, [star(1), star(2)], 28)[: 2880 + 40]
+    files = [*whole[:100], other, *whole[100:200], *([short, b"nothing"] if drop else []), None, *whole[200:]]
+    batches = [pa.record_batch([pa.array([str(k) for k in range(len(part))]), pa.array(part, pa.binary())], names=["path", "content"]) for part in (files[:150], files[150:])]
+    schema = T._parse_datatype_string("source_id long, mag float, _path string, _hdu int, _row long")
+    s = source.Settings(drop=drop)
+    calls, pick = [], source.pick
+    monkeypatch.setattr(source, "pick", lambda *a: calls.append(1) or pick(*a))
+    got = [tuple(r.values()) for b in source.decode_bytes(iter(batches), schema, s) for r in b.to_pylist()]
+    assert len(calls) < (205 if drop else 8)
+    want = [tuple(r.values()) for b in batches for p, c in zip(*(x.to_pylist() for x in b.columns)) if c is not None for x in source._one_file(p, source.open_bytes(c, p), schema, s) for r in x.to_pylist()]
+    assert got == want and len(got) == 601
+    if not drop:
+        with pytest.raises(ValueError, match="ends early"):
+            list(source.decode_bytes(iter([pa.record_batch([["a", "b"], [whole[0], short]], names=["path", "content"])]), schema, s))
+
+
 @pytest.mark.parametrize("one", [True, False])
 def test_round_trip(spark, tmp_path, one):
     df = spark.createDataFrame([(1, "é", True, 1.5, [1, 2], None), (2, "", None, float("-inf"), [3, 4], 5)], "k long, s string, b boolean, d double, a array<int>, n int")
