@@ -178,7 +178,7 @@ def header_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, kind = bridge.header([card("SIMPLE", "T"), *cards]).cast("binary"), F.col("s_suppkey") % 4
     content = F.when(kind == 0, F.concat(whole, bridge.header([card("XTENSION", "'IMAGE'"), *cards]).cast("binary"))).when(kind == 1, bridge.header(cards).cast("binary"))
     content = content.when(kind == 2, F.rpad(F.lit(""), 2880, " ").cast("binary")).otherwise(F.concat(whole, bridge.header(cards).cast("binary")))
-    files = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), content.alias("content"))
+    files = bridge.spread(_table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").cast("string").alias("path"), content.alias("content"))
     found = memory.relation(files, "hdus").groupBy("path").agg(F.count_if(F.col("error").isNotNull()).alias("errors"))
     return found.select(F.col("path").cast("long").alias("s_suppkey"), (F.col("errors") > 0).alias("broken"))
 

@@ -40,7 +40,7 @@ def test_planes_of_any_number_of_rows(spark, tmp_path, name, rows):
     assert sorted(map(repr, map(tuple, df.select(*found.columns).collect()))) == sorted(map(repr, found.fetchall()))
 
 
-@pytest.mark.parametrize("name, tasks", [("table_small_ints", 4)])
+@pytest.mark.parametrize("name, tasks", [("table_small_ints", 4), ("table_bits", 4), ("table_string_arrays", 1), ("table_ascii", 1)])
 def test_rows_that_become_files_are_spread(spark, monkeypatch, name, tasks):
     monkeypatch.setattr(bridge.spread, "__defaults__", (60,))
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() == tasks
