@@ -50,7 +50,7 @@ def encode_tables(df: DataFrame, key: str, columns: list[str] | None = None, ext
     kept = df.schema[key]
 
     def one(table: pa.Table) -> pa.Table:
-        data = b"".join(table_bytes(table.select(columns), schema, extname, []))
+        data = b"".join(table_bytes(table.select(columns).to_batches(), schema, extname, []))
         return pa.table([table.column(key).slice(0, 1), pa.array([data], pa.binary())], names=[key, "content"])
 
     return df.groupBy(key).applyInArrow(one, T.StructType([kept, T.StructField("content", T.BinaryType())]))

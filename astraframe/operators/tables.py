@@ -54,9 +54,9 @@ def row_at(spark: SparkSession, path: str, ordinal: int, **options: object) -> D
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", **options: object) -> None:
-    """One file a partition, each with one binary table; column types decide the formats."""
+    """One file a partition, or with single=True one in all, each with one binary table; column types decide the formats."""
     register(df.sparkSession)
     w = df.write.format("starfile").mode(mode).option("kind", "table")
     for k, v in options.items():
-        w = w.option(k, str(v))
+        w = w.option(k, str(v).lower() if isinstance(v, bool) else str(v))
     w.save(path)

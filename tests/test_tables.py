@@ -164,7 +164,7 @@ def test_memory(spark, tmp_path):
 
 
 @pytest.mark.parametrize("drop", [True, False])
-def test_files_of_one_header(monkeypatch, drop):
+def test_files_of_one_header(spark, monkeypatch, drop):
     """A header that files in a row have in common is parsed once; rows, their order and errors are those of each file by itself."""
     import pyarrow as pa
     from astraframe.sources import source
@@ -201,6 +201,33 @@ def test_round_trip(spark, tmp_path, one):
     assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_temporary")]
 
 
+def test_writing_holds_few_batches(spark, monkeypatch):
+    """Of 64 MB no more than a few MB are in memory, and what was laid aside is what is written."""
+    import numpy as np
+    import pyarrow as pa
+    from astraframe.sources import writer
+
+    monkeypatch.setattr(writer, "HELD_BYTES", 4 << 20)
+    base, most = pa.total_allocated_bytes(), 0
+
+    def batches():
+        nonlocal most
+        for k in range(64):
+            most = max(most, pa.total_allocated_bytes() - base)
+            yield pa.record_batch([pa.array(np.arange(k << 16, (k + 1) << 16)), pa.array([f"{k:>{k % 7 + 1}}"] * (1 << 16))], names=["k", "s"])
+
+    with writer.Aside(T._parse_datatype_string("k long, s string")) as held:
+        held.take(batches())
+        forms, at = held.forms(), 0
+        assert forms == ["1K", "7A"] and held.rows == 64 << 16
+        for c in writer.table_rows(held.again(), held.schema, forms):
+            most = max(most, pa.total_allocated_bytes() - base)
+            rows = np.frombuffer(c, np.dtype([("k", ">i8"), ("s", "S7")]))
+            assert rows["k"][0] == at and rows["k"][-1] == at + len(rows) - 1 and int(rows["s"][-1]) == (at + len(rows) - 1) >> 16
+            at += len(rows)
+    assert at == 64 << 16 and most < 16 << 20
+
+
 def test_encode_in_memory(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 6, "bc"), (2, 7, "d")], "k int, v long, s string")
     files = memory.encode_tables(df, "k", extname="E")
