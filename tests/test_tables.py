@@ -228,6 +228,24 @@ def test_writing_holds_few_batches(spark, monkeypatch):
     assert at == 64 << 16 and most < 16 << 20
 
 
+def test_rows_laid_aside_in_a_file(spark, monkeypatch):
+    """A file is the same byte by byte, whether its rows were held in memory or not."""
+    import pyarrow as pa
+    from astraframe.sources import writer
+
+    schema = T._parse_datatype_string("k long, s string, b boolean, d double, a array<int>, t timestamp, n short")
+    columns = [[1, None, -3], ["é", "", None], [True, None, False], [1.5, None, float("-inf")], [[1, 2], [3, 4], [5, 6]], [0, None, 10**15], [None, 2, 3]]
+    kinds = [pa.int64(), pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.int32()), pa.timestamp("us", "UTC"), pa.int16()]
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=schema.names)
+    made = []
+    for most in (0, 1 << 20):
+        monkeypatch.setattr(writer, "HELD_BYTES", most)
+        made.append(b"".join(writer.table_bytes([batch, batch.slice(1, 2), batch.slice(0, 0), batch], schema, "T", [])))
+    assert made[0] == made[1] and len(made[0]) % 2880 == 0
+    row = struct.pack(">q2s1sd2iqh", 1, "é".encode(), b"T", 1.5, 1, 2, 0, 0)
+    assert row in made[0] and made[0].count(struct.pack(">q2s1sd2iqh", -3, b"  ", b"F", float("-inf"), 5, 6, 10**15, 3)) == 3
+
+
 def test_encode_in_memory(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 6, "bc"), (2, 7, "d")], "k int, v long, s string")
     files = memory.encode_tables(df, "k", extname="E")
