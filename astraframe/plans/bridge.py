@@ -37,7 +37,7 @@ def drop_shared(spark: SparkSession) -> None:
 def table_files(df: DataFrame, one: bool = False, **options: object) -> str:
     """The table as files, one a partition or one in all, in the order of df; their folder."""
     path = shared_folder(df.sparkSession)
-    tables.write_table(df.coalesce(1) if one else df, path, **options)
+    tables.write_table(df, path, **(options | {"single": "true"} if one else options))
     return path
 
 

@@ -8,14 +8,14 @@ these are errors), ``scaling`` and ``nulls`` (apply TSCAL and TZERO, TNULL), ``a
 value a cell), ``meta`` (adds _path, _hdu, _row), ``layout`` of images (pixels, rows,
 pairs of rows), ``plane`` (the only one that is read), ``partitionBytes``, ``recursive``, ``pushdown``.
 
-Planning lists files and reads the headers of the first one, for the schema; every task reads the
-headers of its own files. Files are cut into ranges of rows by size, and small files share a task.
+Planning lists files and reads the headers of the first one, for the schema (where rows are addressed,
+of each file of several tasks, whose other ranges get no task); every task reads the headers of its own files. Files are cut into ranges of rows by size, and small files share a task.
 A schema given by the reader selects the columns that are decoded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,8 @@ PARTITION_BYTES = 64 << 20
 #: A small file counts as so many bytes at least where files share a task.
 OPEN_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
+#: An end of rows that no file reaches.
+EVERY = 2**62
 
 META = (T.StructField("_path", T.StringType()), T.StructField("_hdu", T.IntegerType()), T.StructField("_row", T.LongType()))
 
@@ -160,10 +162,9 @@ def data_batches(path: str, file, part: int, parts: int, schema: T.StructType, s
     if s.relation == "image":
         yield from _image_batches(path, file, u, part, parts, schema, s, span)
         return
-    axes = u.axes
-    if len(axes) != 2:
-        raise FormatError(f"{path}: unit {u.index}: a table has two axes, this one has {len(axes)}")
-    total, stride = axes[1], axes[0]
+    if len(u.axes) != 2:
+        raise FormatError(f"{path}: unit {u.index}: a table has two axes, this one has {len(u.axes)}")
+    stride, total = u.axes
     fields = _fields(path, u, schema, s)
     first, stop = total * part // parts, total * (part + 1) // parts
     if span:
@@ -200,6 +201,19 @@ def _table_batch(u: Unit, fields: dict[str, Field], block: np.ndarray, paths, or
     return pa.RecordBatch.from_arrays(cols, schema=to_arrow_schema(schema)) if cols else pa.RecordBatch.from_struct_array(pa.array([{}] * n, pa.struct([])))
 
 
+def extent(file, u: Unit, s: Settings) -> tuple[int, int]:
+    """The first row (or pair of rows) that is asked for and the number of them, before a range of rows is chosen."""
+    if s.relation != "image":
+        return 0, u.axes[1] if len(u.axes) == 2 else 0
+    _, h, planes = u.plane
+    each = 2 if s.layout == "pairs" else 1
+    rest = last_plane(file, u)
+    high, more = h // each, rest.plane[1] // each if rest else 0
+    if s.plane is not None:  # a plane is a range of rows, the only one that is read
+        return s.plane * high, high if 0 <= s.plane < planes else more if s.plane == planes else 0
+    return 0, high * planes + more
+
+
 def _rows(path: str, file, u: Unit, a: int, b: int, at: int, stride: int) -> np.ndarray:
     """Rows a to b of a unit, which begin at a byte of its data."""
     data = file.at(u.data_offset + at, (b - a) * stride)
@@ -218,9 +232,7 @@ def _image_batches(path: str, file, u: Unit, part: int, parts: int, schema: T.St
     total, stride, arrow = high * planes, each * line, to_arrow_schema(schema)
     rest = last_plane(file, u)
     more = rest.plane[1] // each if rest else 0
-    base, many = 0, total + more
-    if s.plane is not None:  # a plane is a range of rows, the only one that is read
-        base, many = s.plane * high, high if 0 <= s.plane < planes else more if s.plane == planes else 0
+    base, many = extent(file, u, s)
     first, stop = base + many * part // parts, base + many * (part + 1) // parts
     if span:
         first, stop = max(first, span[0]), min(stop, span[1])
@@ -278,7 +290,7 @@ class Ranges(InputPartition):
 class Reader(DataSourceReader):
     def __init__(self, path: str, schema: T.StructType, s: Settings, recursive: bool):
         self.path, self.want, self.s, self.recursive = path, schema, s, recursive
-        self.low, self.high, self.paths = 0, 2**62, None
+        self.low, self.high, self.paths = 0, EVERY, None
 
     def partitions(self) -> list[Ranges]:
         out: list[Ranges] = []
@@ -289,7 +301,7 @@ class Reader(DataSourceReader):
             parts = 1 if path.endswith(".gz") or self.s.relation in ("hdus", "cards") else max(1, -(-size // self.s.partition_bytes))
             cost = OPEN_BYTES if self.s.relation in ("hdus", "cards") else max(size, OPEN_BYTES)
             if parts > 1:
-                out += [Ranges([(path, k, parts)]) for k in range(parts)]
+                out += [Ranges([(path, k, parts)]) for k in self._asked(path, parts)]
                 room = 0
             elif room >= cost:
                 out[-1].pieces.append((path, 0, 1))
@@ -299,6 +311,24 @@ class Reader(DataSourceReader):
                 room = max(0, self.s.partition_bytes - cost)
         return out or [Ranges([])]
 
+    def _asked(self, path: str, parts: int) -> Iterable[int]:
+        """The parts of a file that have rows asked for; where rows are addressed, its header tells."""
+        if self.low <= 0 and self.high >= EVERY:
+            return range(parts)
+        file = open_file(path)
+        try:
+            u = pick(file, self.s.hdu, self.s.kinds)
+            base, many = extent(file, u, self.s) if u is not None else (0, 0)
+        except (FormatError, ValueError):  # the task that reads the file tells it
+            return range(parts)
+        finally:
+            file.close()
+        low, high = max(self.low - base, 0), min(self.high - base, many)
+        if u is None or not many:
+            return range(1)
+        near = range(max(0, low * parts // many - 1), min(parts, high * parts // many + 2))
+        return [k for k in near if many * k // parts < high and many * (k + 1) // parts > low]
+
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         for path, part, parts in partition.pieces:
             file = open_file(path)

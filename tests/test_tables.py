@@ -246,6 +246,34 @@ def test_rows_laid_aside_in_a_file(spark, monkeypatch):
     assert row in made[0] and made[0].count(struct.pack(">q2s1sd2iqh", -3, b"  ", b"F", float("-inf"), 5, 6, 10**15, 3)) == 3
 
 
+def test_addressed_rows_plan_their_ranges_only(spark, tmp_path):
+    from astraframe.sources import source
+
+    data = fx.PRIMARY + fx.table(KDDE, [star(i) for i in range(5000)], 28)
+    path, s = put(tmp_path, "a.fits", data), source.Settings(partition_bytes=2880, meta=True)
+    schema = T._parse_datatype_string("source_id long, _row long")
+    for low, high in ((100, 1100), (0, 1), (4999, 5000), (0, 5000), (4990, 9000), (6000, 7000)):
+        reader = source.PushdownReader(path, schema, s, False)
+        reader.low, reader.high = low, high
+        planned = [p for p in reader.partitions() if p.pieces]
+        assert [r["_row"] for p in planned for b in reader.read(p) for r in b.to_pylist()] == list(range(low, min(high, 5000)))
+        assert len(planned) <= (min(high, 5000) - low) * 28 // 2880 + 4 or low > 5000 and not planned
+
+
+def test_single_file_of_many_tasks(spark, tmp_path):
+    """In the order of partitions, with text as wide as the widest of any task; partitions without rows too."""
+    df = spark.range(1000, numPartitions=7).where("id >= 300").select("id", F.when(F.col("id") % 10 > 0, F.lpad(F.lit("é"), (F.col("id") / 100).cast("int"), "x")).alias("s"), F.array(F.col("id"), F.lit(1)).alias("a"))
+    path = str(tmp_path / "out")
+    tables.write_table(df, path, single=True, extname="ONE")
+    assert len([p for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")]) == 1
+    got = tables.read_table(spark, path, hdu="ONE", meta="true").orderBy("_row").select("id", "s", "a").collect()
+    assert [(r[0], r[1] or None, r[2]) for r in got] == [tuple(r) for r in df.collect()] and len(got) == 700
+    tables.write_table(df.where("id < 0"), path, single=True)
+    assert headers.table_rows(headers.hdus(spark, path)).first()["n_rows"] == 0
+    with pytest.raises(Exception, match="as many in each row"):
+        tables.write_table(df.select(F.expr("if(id < 600, array(1), array(1, 2))").alias("a")), path, single=True)
+
+
 def test_encode_in_memory(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 6, "bc"), (2, 7, "d")], "k int, v long, s string")
     files = memory.encode_tables(df, "k", extname="E")
