@@ -65,12 +65,14 @@ def superpixel(df: DataFrame, bitpix: int | None = None, pattern: str | None = N
     if pattern is not None and pattern.upper() not in PLACES:
         raise ValueError(f"{pattern!r} is none of {', '.join(BAYER_PATTERNS)}")
     bayer = F.lit(pattern.upper()) if pattern else F.col("bayer_pattern")
+    known = F.coalesce(*(F.when(bayer == name, i) for i, name in enumerate(PLACES)), F.lit(-1))  # a number, as text would make Spark sort all pixels
     df = df.where((F.col("x") < F.floor(F.col("width") / 2) * 2) & (F.col("y") < F.floor(F.col("height") / 2) * 2))
     at = lambda x, y: F.max(F.when((F.col("x") % 2 == x) & (F.col("y") % 2 == y), F.col("raw")))
     names = {(0, 0): "p00", (1, 0): "p10", (0, 1): "p01", (1, 1): "p11"}
     blocks = df.groupBy(*key, F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(
-        *(at(*xy).alias(n) for xy, n in names.items()), F.first(bayer).alias("bayer"), F.first("bzero").alias("bzero"), F.first("bscale").alias("bscale")
+        *(at(*xy).alias(n) for xy, n in names.items()), F.first(known).alias("bayer"), F.first("bzero").alias("bzero"), F.first("bscale").alias("bscale")
     )
+    blocks = blocks.withColumn("bayer", F.coalesce(*(F.when(F.col("bayer") == i, name) for i, name in enumerate(PLACES))))
     return _channels(blocks, names, bitpix, mode).select(*key, "y", "x", "r", "g", "b")
 
 

@@ -31,6 +31,9 @@ from .headers import FormatError, Unit, last_plane, pick, units
 from .storage import list_files, open_bytes, open_file
 
 PARTITION_BYTES = 64 << 20
+#: Of pixels, each of which becomes a row of some 64 bytes.
+PIXEL_PARTITION_BYTES = 4 << 20
+PIXEL_BYTES = 64
 #: A small file counts as so many bytes at least where files share a task.
 OPEN_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
@@ -75,7 +78,11 @@ class Settings:
         for name, value, known in (("relation", relation, ("hdus", "cards", "table", "image", "ascii")), ("mode", mode, MODES), ("parse", parse, ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")), ("layout", layout, ("pixels", "rows", "pairs"))):
             if value not in known:
                 raise ValueError(f"option {name}: {value!r} is none of {', '.join(known)}")
-        return Settings(relation, options.get("hdu"), mode, parse == "FAILFAST", parse == "DROPMALFORMED", yes("scaling"), yes("nulls"), yes("arrays"), yes("meta"), layout, int(get("partitionBytes", PARTITION_BYTES)), int(options["plane"]) if options.get("plane") is not None else None)
+        return Settings(relation, options.get("hdu"), mode, parse == "FAILFAST", parse == "DROPMALFORMED", yes("scaling"), yes("nulls"), yes("arrays"), yes("meta"), layout, int(get("partitionBytes", PIXEL_PARTITION_BYTES if relation == "image" and layout == "pixels" else PARTITION_BYTES)), int(options["plane"]) if options.get("plane") is not None else None)
+
+    @property
+    def pixels(self) -> bool:
+        return self.relation == "image" and self.layout == "pixels"
 
     @property
     def kinds(self) -> tuple[str, ...]:
@@ -237,7 +244,7 @@ def _image_batches(path: str, file, u: Unit, part: int, parts: int, schema: T.St
     if span:
         first, stop = max(first, span[0]), min(stop, span[1])
     apart = s.layout == "pairs" and h % 2 and planes > 1  # planes apart: a pair's place isn't its number times its size
-    step = max(1, BATCH_BYTES // max(1, stride))
+    step = max(1, BATCH_BYTES // max(1, w * PIXEL_BYTES if s.pixels else stride))
     for unit, low, end, step in ((u, 0, total, 1 if apart else step), *([(rest, total, total + more, step)] if rest else [])):
         for a in range(max(first, low), min(stop, end), step):
             b = min(stop, end, a + step)
@@ -294,12 +301,12 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         out: list[Ranges] = []
-        room = 0
+        room, least = 0, OPEN_BYTES * min(self.s.partition_bytes, PARTITION_BYTES) // PARTITION_BYTES if self.s.pixels else OPEN_BYTES
         for path, size in list_files(self.path, self.recursive):
             if self.paths is not None and path not in self.paths:
                 continue
             parts = 1 if path.endswith(".gz") or self.s.relation in ("hdus", "cards") else max(1, -(-size // self.s.partition_bytes))
-            cost = OPEN_BYTES if self.s.relation in ("hdus", "cards") else max(size, OPEN_BYTES)
+            cost = OPEN_BYTES if self.s.relation in ("hdus", "cards") else max(size, least)
             if parts > 1:
                 out += [Ranges([(path, k, parts)]) for k in self._asked(path, parts)]
                 room = 0

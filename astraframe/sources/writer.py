@@ -6,7 +6,7 @@ The primary unit is empty (or the image itself), a table is one BINTABLE extensi
 ``header`` (more "KEY=value" cards, by newlines), ``single`` (one file: tasks write their rows, which are
 joined in the order of partitions). A table's header has its number of rows and its widest text, so a task
 lays its batches aside, in memory up to HELD_BYTES and beyond in a temporary file of its own, and encodes
-them one by one when it knows; an image's planes are held by one task.
+them one by one when it knows; so does an image's one task, which holds the image's samples.
 """
 
 from __future__ import annotations
@@ -176,11 +176,11 @@ def table_bytes(batches: Iterable[pa.RecordBatch], schema: T.StructType, extname
 
 
 class Aside:
-    """Batches to be read once more, their number of rows and what their formats depend on."""
+    """Batches to be read again, their number of rows and what their formats depend on."""
 
     def __init__(self, schema: T.StructType):
         self.schema, self.rows, self.extents = schema, 0, [Extent() for _ in schema.fields]
-        self.held, self.bytes, self.file, self.out = [], 0, None, None
+        self.held, self.bytes, self.file, self.out, self.ended = [], 0, None, None, False
 
     def __enter__(self) -> Aside:
         return self
@@ -208,7 +208,9 @@ class Aside:
 
     def again(self) -> Iterator[pa.RecordBatch]:
         if self.out is not None:
-            self.out.close()
+            if not self.ended:
+                self.out.close()
+                self.ended = True
             self.file.seek(0)
             yield from pa.ipc.open_stream(self.file)
         yield from self.held
@@ -236,32 +238,43 @@ def _samples(planes: np.ndarray, bitpix: int) -> Iterator[bytes]:
     yield b"\0" * (padded(size) - size)
 
 
-def stack(table: pa.Table, height: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _placed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Plane, y, x and sample of each of a batch's samples."""
+    plane, y = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("plane", "y"))
+    raw = b.column("raw")
+    if not pa.types.is_list(raw.type):
+        return plane, y, b.column("x").to_numpy(zero_copy_only=False).astype(np.int64), raw.to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(raw)
+    w = pc.max(size).as_py() or 0
+    if raw.null_count or pc.min(size).as_py() != w:
+        raise ValueError("rows of samples of different lengths")
+    return np.repeat(plane, w), np.repeat(y, w), np.tile(np.arange(w), len(plane)), raw.flatten().to_numpy(zero_copy_only=False)
+
+
+def stack(held: Aside, height: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(plane, y, x, raw) or (plane, y, raw list) rows to an array of whole planes and the rows of a last one that isn't full.
 
     Only with a height the last plane may have fewer rows.
     """
-    get = lambda c: table.column(c).to_numpy()
-    plane, y = get("plane").astype(np.int64), get("y").astype(np.int64)
-    if not len(plane):
+    n = high = w = last = many = 0
+    for plane, y, x, flat in (_placed(b) for b in held.again()):
+        if not len(flat):
+            continue
+        if plane.max() >= n:
+            n, last = int(plane.max()) + 1, 0
+        last = max(last, int(y[plane == n - 1].max(initial=-1)) + 1)
+        high, w, many = max(high, int(y.max()) + 1), max(w, int(x.max()) + 1), many + len(flat)
+    if not many:
         return np.zeros((0, 0, 0)), np.zeros((0, 0))
-    raw = table.column("raw").combine_chunks()
-    raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-    n, h = int(plane.max()) + 1, height or int(y.max()) + 1
-    last = int(y[plane == n - 1].max()) + 1
-    if y.max() >= h:
-        raise ValueError(f"row {int(y.max())} of planes of {h} rows")
-    if pa.types.is_list(raw.type):
-        flat = raw.flatten().to_numpy()
-        w = len(flat) // len(plane)
-        x, plane, y = np.tile(np.arange(w), len(plane)), np.repeat(plane, w), np.repeat(y, w)
-    else:
-        flat, x = raw.to_numpy(), get("x").astype(np.int64)
-        w = int(x.max()) + 1
-    if len(flat) != ((n - 1) * h + (last if height else h)) * w:
-        raise ValueError(f"{len(flat)} samples don't fill {n} planes of {w} by {h}")
-    out = np.zeros((n, h, w), flat.dtype)
-    out[plane, y, x] = flat
+    h = height or high
+    if high > h:
+        raise ValueError(f"row {high - 1} of planes of {h} rows")
+    if many != ((n - 1) * h + (last if height else h)) * w:
+        raise ValueError(f"{many} samples don't fill {n} planes of {w} by {h}")
+    kind = held.schema["raw"].dataType
+    out = np.zeros((n, h, w), np.dtype(_NUMPY[TYPES[(kind.elementType if isinstance(kind, T.ArrayType) else kind).simpleString()]]).newbyteorder("="))
+    for plane, y, x, flat in (_placed(b) for b in held.again()):
+        out[plane, y, x] = flat
     return (out, out[0, :0]) if last == h else (out[: n - 1], out[n - 1, :last])
 
 
@@ -314,8 +327,8 @@ class Writer(DataSourceArrowWriter):
                 kind = self.wanted["raw"].dataType
                 kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
                 calibration = [card(k, float(o[n])) for k, n in (("BZERO", "bzero"), ("BSCALE", "bscale")) if n in o] + ([card("BAYERPAT", o["bayer"])] if "bayer" in o else [])
-                table = pa.Table.from_batches(list(batches))
-                rows, chunks = table.num_rows, image_bytes(*stack(table, int(o["height"]) if "height" in o else None), more, int(o.get("bitpix", _BITPIX_OF[kind.simpleString()])), calibration)
+                held.take(batches)
+                rows, chunks = held.rows, image_bytes(*stack(held, int(o["height"]) if "height" in o else None), more, int(o.get("bitpix", _BITPIX_OF[kind.simpleString()])), calibration)
             else:
                 held.take(batches)
                 rows, forms = held.rows, held.forms()

@@ -46,6 +46,12 @@ def test_rows_that_become_files_are_spread(spark, monkeypatch, name, tasks):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() == tasks
 
 
+@pytest.mark.parametrize("name", ["image_superpixel_i16_bggr"])
+def test_pixels_are_not_sorted(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
 def test_entry_without_training_data_operators(tmp_path):
     """A copy of the repository without them: the entry and all other queries are there."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
