@@ -88,8 +88,12 @@ def table_header(kind: str, row_bytes: int, rows: int, columns: list[dict[str, s
     return header(cards + more)
 
 
+#: Headers that a task makes of a table's rows; Spark sorts their cards to aggregate them.
+UNITS_A_TASK = 2_000
+
+
 def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """The rows in tasks of about so many: those of a small table become whole files."""
+    """The rows in tasks of about so many: those of a small table become whole files, or headers of many cards."""
     return df.repartition(max(1, -(-df.count() // rows)))
 
 

@@ -44,7 +44,7 @@ _INDEXED = [(f"{f}{n}", name, n, kind, 100 + 2 * i + n) for i, (f, name, kind) i
 def _headers_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = [bridge.text_card(k, _value(kind, i, k)) for k, _, kind, i in _SINGLE] + [bridge.text_card(k, _value(kind, i, k)) for k, _, _, kind, i in _INDEXED]
     cards += [bridge.text_card("AUTHOR", "'a later card that does not count'"), F.rpad(F.lit("END"), 80, " ")]
-    return headers.parse(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit(0).alias("hdu_index"), F.posexplode(F.array(*cards)).alias("card_index", "card")))
+    return headers.parse(bridge.spread(_table(spark, sf_dir, "supplier"), bridge.UNITS_A_TASK).select(F.col("s_suppkey").cast("string").alias("path"), F.lit(0).alias("hdu_index"), F.posexplode(F.array(*cards)).alias("card_index", "card")))
 
 
 @query("SELECT s_suppkey, " + ", ".join(f"{_sql(kind, i, k)} AS {name}" for k, name, kind, i in _SINGLE) + " FROM supplier")

@@ -206,7 +206,7 @@ def _supplier_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         card("OBJECT", F.concat(quote(F.concat("s_name", F.lit("'s"))), F.lit(" / a/b"))), card("EXPTIME", exp), card("BZERO", "32768"), card("GAIN", F.col("s_acctbal").cast("decimal(18,2)").cast("string")),
         card("DATE-OBS", F.lit("'2024-01-02T03:04:05'")), card("IMAGETYP", "'masterdark'"), card("BAYERPAT", "'grbg'"), card("YORGSUBF", "7"), F.rpad(F.lit("COMMENT nothing of note"), 80, " "), card("OBJECT", "'second'"), F.rpad(F.lit("END"), 80, " "),
     )
-    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit(0).alias("hdu_index"), "s_suppkey", F.posexplode(cards).alias("card_index", "card"))
+    return bridge.spread(_table(spark, sf_dir, "supplier"), bridge.UNITS_A_TASK).select(F.col("s_suppkey").cast("string").alias("path"), F.lit(0).alias("hdu_index"), "s_suppkey", F.posexplode(cards).alias("card_index", "card"))
 
 
 def _all_cards(rows: list[tuple[str, str, str, str]]) -> str:

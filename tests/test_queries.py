@@ -6,7 +6,7 @@ import sys
 import astraframe.plans.coverage  # noqa: F401
 import duckdb
 import pytest
-from astraframe.plans import bridge
+from astraframe.plans import bridge, coverage, queries
 from astraframe.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +52,13 @@ def test_pixels_are_not_sorted(spark, name):
     assert "HashAggregate" in plan and "Sort" not in plan
 
 
+@pytest.mark.parametrize("made", [coverage._headers_of_suppliers, queries._supplier_cards])
+def test_headers_of_a_task_are_few(spark, monkeypatch, made):
+    """A small table's rows become many cards each, which one task doesn't sort."""
+    monkeypatch.setattr(bridge, "UNITS_A_TASK", 3)
+    assert made(spark, SF).rdd.getNumPartitions() == 4
+
+
 def test_entry_without_training_data_operators(tmp_path):
     """A copy of the repository without them: the entry and all other queries are there."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
