@@ -46,7 +46,7 @@ def test_rows_that_become_files_are_spread(spark, monkeypatch, name, tasks):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() == tasks
 
 
-@pytest.mark.parametrize("name", ["image_superpixel_i16_bggr", "image_superpixel_i16_gbrg", "image_superpixel_i16_grbg", "image_superpixel_i16_rggb", "image_superpixel_i32_rggb", "image_superpixel_i32_rggb_reference", "image_superpixel_u8_rggb", "image_superpixel_u8_rggb_reference", "image_superpixel_f32_rggb"])
+@pytest.mark.parametrize("name", ["image_superpixel_i16_bggr", "image_superpixel_i16_gbrg", "image_superpixel_i16_grbg", "image_superpixel_i16_rggb", "image_superpixel_i32_rggb", "image_superpixel_i32_rggb_reference", "image_superpixel_u8_rggb", "image_superpixel_u8_rggb_reference", "image_superpixel_f32_rggb", "image_superpixel_f64_rggb"])
 def test_pixels_are_not_sorted(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "Sort" not in plan
