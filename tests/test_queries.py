@@ -6,8 +6,10 @@ import sys
 import astraframe.plans.coverage  # noqa: F401
 import duckdb
 import pytest
+from astraframe.operators import images
 from astraframe.plans import bridge, coverage, queries
 from astraframe.plans.queries import ORACLES, QUERIES
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +54,12 @@ def test_pixels_are_not_sorted(spark, name):
     assert "HashAggregate" in plan and "Sort" not in plan
 
 
+def test_pixels_of_errors_are_not_sorted(spark):
+    grey = images.read_image(spark, queries._image(spark, SF, "i16"))
+    plan = images.superpixel(grey, 16).agg(F.sum("r"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
 @pytest.mark.parametrize("made", [coverage._headers_of_suppliers, queries._supplier_cards])
 def test_headers_of_a_task_are_few(spark, monkeypatch, made):
     """A small table's rows become many cards each, which one task doesn't sort."""
